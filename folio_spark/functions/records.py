@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 # The review record, its marks, and the length of a fallback comment.
 ISSUE = "struct<file:string,line_range:string,severity:string,category:string,title:string,description:string,suggestion:string>"
 REVIEW = (
@@ -69,10 +71,13 @@ def strip_code_fence(text: Column) -> Column:
 
 def embedded_json(text: Column) -> Column:
     """The text itself if it parses as an object, else its first ``{`` to last ``}``; null without braces."""
-    body = strip_code_fence(text)
-    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    whole = F.get_json_object(body, "$").isNotNull() & body.startswith("{")
-    return F.when(whole, body).when(inner != "", inner)
+
+    def find(body):
+        whole = F.get_json_object(body, "$").isNotNull() & body.startswith("{")
+        inner = F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))
+        return F.when(whole, body).otherwise(inner)
+
+    return let(strip_code_fence(text), find)
 
 
 def review_record(text: Column) -> Column:
@@ -83,9 +88,12 @@ def review_record(text: Column) -> Column:
         F.array().cast(f"array<{ISSUE}>").alias("issues"),
         F.substring(strip_code_fence(text), 1, FALLBACK_COMMENT).alias("overall_comment"),
     )
-    record = embedded_json(text)
-    usable = record.isNotNull() & F.get_json_object(record, "$").isNotNull()
-    return F.when(usable, F.from_json(record, REVIEW)).otherwise(fallback)
+
+    def parse(record):
+        usable = F.get_json_object(record, "$").isNotNull()
+        return F.when(usable, F.from_json(record, REVIEW)).otherwise(fallback)
+
+    return let(embedded_json(text), parse)
 
 
 def marked(value: Column, marks: dict[str, str], default: str) -> Column:

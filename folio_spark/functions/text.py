@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.assemble import strip
+from .binding import let
 
 # Fixed values of the formatting rules.
 CONTROL_CHARACTERS = r"[\x00-\x08\x0b-\x1f\x7f]"
@@ -76,18 +77,23 @@ def organize_paragraphs(text: Column) -> Column:
     """One blank line between paragraphs; a line after a long one continues it."""
     paragraphs = F.split(F.regexp_replace(text, "\n{3,}", "\n\n"), "\n\n")
 
+    def glue(line, before):
+        continues = (F.length(before) > LONG_LINE) & ~before.startswith("#") & ~line.startswith("#")
+        lead = F.when(before.isNull() | continues, F.lit("")).otherwise(F.lit("\n"))
+        return F.concat(lead, line)
+
     def joined(paragraph):
-        lines = lines_of(paragraph)
+        return let(
+            lines_of(paragraph),
+            lambda lines: F.array_join(F.zip_with(lines, shifted_back(lines), glue), ""),
+        )
 
-        def glue(line, i):
-            before = F.get(lines, i - 1)
-            continues = (F.length(before) > LONG_LINE) & ~before.startswith("#") & ~line.startswith("#")
-            lead = F.when(i == 0, F.lit("")).when(continues, F.lit("")).otherwise(F.lit("\n"))
-            return F.concat(lead, line)
+    return F.array_join(F.transform(paragraphs, joined), "\n\n")
 
-        return F.array_join(F.transform(lines, glue), "")
 
-    return F.array_join(F.transform(paragraphs, joined), "\n\n")
+def shifted_back(lines: Column) -> Column:
+    """The line before each line, null for the first."""
+    return F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, 1, F.size(lines) - 1))
 
 
 def looks_like_heading(line: Column, following: Column) -> Column:
@@ -107,12 +113,16 @@ def format_headings(text: Column, *, markdown: bool = True, detect_headings: boo
     """Mark plain-text headings with ``## ``."""
     if not (markdown and detect_headings):
         return text
-    lines = lines_of(text)
 
-    def mark(line, i):
-        return F.when(looks_like_heading(line, F.get(lines, i + 1)), F.concat(F.lit("## "), line)).otherwise(line)
+    def mark(line, following):
+        heading = looks_like_heading(line, following)
+        return F.when(heading, F.concat(F.lit("## "), line)).otherwise(line)
 
-    return F.array_join(F.transform(lines, mark), "\n")
+    # zip_with pads the shorter array: the last line is followed by null.
+    return let(
+        lines_of(text),
+        lambda lines: F.array_join(F.zip_with(lines, F.slice(lines, 2, F.size(lines)), mark), "\n"),
+    )
 
 
 def format_full_text(text: Column, *, markdown: bool = True, detect_headings: bool = True) -> Column:
