@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written to the checkpoint folder: its lineage ends there.
+
+    For frames that are read several times or in a loop; unlike a local
+    checkpoint it survives the loss of executors.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a table written mid-job."""
     import uuid
