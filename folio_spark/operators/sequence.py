@@ -221,7 +221,9 @@ def end_of_sequence(
     if n < 2:
         raise ValueError("at least two pages make a run")
     if threshold is not None:
-        return _anchored_end(df, book, page, content, n, threshold, name, width)
+        differs = lambda a, b: hamming(a, b) > threshold
+        states = sequence_states(df, book, page, content, n=n, differs=differs, name=name, width=width)
+        return states.filter(F.col(name).isNotNull()).select(*keys_of(book), name)
     marked = previous_page(
         df.select(*keys_of(book), page, content), book, page, {"_previous": content}, width=width
     )
@@ -229,26 +231,27 @@ def end_of_sequence(
     return first_run(marked, book, page, same, n - 1, name=name, width=width)
 
 
-def _anchored_end(df, book, page, signature, n, threshold, name, width):
-    """The anchor rule as a chain of jumps, composed chunk by chunk.
+def sequence_states(
+    df: DataFrame, book, page: str, content: str, *, n: int, differs, name: str = "end_page", width: int = CHUNK
+) -> DataFrame:
+    """End page (null while there is none) and open ``anchor`` page of every book.
 
-    An anchor at page p either ends the book (the next n-1 pages are all near it)
+    An anchor at page p either ends the book (the next n-1 pages are all like it)
     or hands over to the first page that is not, at most n-1 pages on. So a page
     needs only n-1 successors to know its jump, and a chunk needs only the jump
     distance it is entered with (n-1 possibilities) to know how it is left. Chunks
     of chunks compose the same way, which keeps every collected list at most
-    ``width`` long.
+    ``width`` long. ``differs(a, b)`` compares two content columns.
     """
     keys = keys_of(book)
     ahead = Window.partitionBy(*keys, _CHUNK).orderBy(page)
     rows = with_neighbours(
-        df.select(*keys, page, signature), page, after=n - 1, width=width
+        df.select(*keys, page, content), page, after=n - 1, width=width
     )
-    rows = rows.withColumns(
-        {f"_d{j}": hamming(F.col(signature), F.lead(signature, j).over(ahead)) for j in range(1, n)}
-    ).filter(_OWN)
+    later = {f"_d{j}": differs(F.col(content), F.lead(content, j).over(ahead)) for j in range(1, n)}
+    rows = rows.withColumns(later).filter(_OWN)
     # 0: the run is complete here; null: the book stops before either happens.
-    jump = F.coalesce(*[F.when(F.col(f"_d{j}") > threshold, F.lit(j)) for j in range(1, n)])
+    jump = F.coalesce(*[F.when(F.col(f"_d{j}"), F.lit(j)) for j in range(1, n)])
     jump = F.coalesce(jump, F.when(F.col(f"_d{n - 1}").isNotNull(), F.lit(0)))
     steps = rows.select(*keys, _CHUNK, F.col(page).cast("bigint").alias("_page"), jump.alias("_jump"))
 
@@ -265,11 +268,8 @@ def _anchored_end(df, book, page, signature, n, threshold, name, width):
         def step(state, s):
             here = state["end"].isNull() & (state["at"] == s["_page"])
             done = here & (s["_jump"] == 0)
-            moved = F.when(here & s["_jump"].isNull(), F.lit(None).cast("bigint")).when(
-                here, s["_page"] + s["_jump"]
-            )
             return F.struct(
-                F.when(here, moved).otherwise(state["at"]).alias("at"),
+                F.when(here, s["_page"] + F.coalesce(s["_jump"], F.lit(0))).otherwise(state["at"]).alias("at"),
                 F.when(done, s["_page"] + (n - 1)).otherwise(state["end"]).alias("end"),
             )
 
@@ -322,10 +322,8 @@ def _anchored_end(df, book, page, signature, n, threshold, name, width):
     )
     top = upper.groupBy(*keys).agg(parts.alias("_parts"))
     entry = F.element_at(F.element_at(F.col("_parts"), 1)["_exits"], 1)["entry"]
-    return (
-        top.select(*keys, compose(F.col("_parts"), entry)["end"].alias(name))
-        .filter(F.col(name).isNotNull())
-    )
+    final = top.withColumn("_state", compose(F.col("_parts"), entry))
+    return final.select(*keys, F.col("_state.end").alias(name), F.col("_state.at").alias("anchor"))
 
 
 def truncate_at_end(df: DataFrame, ends: DataFrame, book, page: str, end: str = "end_page"):

@@ -1 +1,91 @@
-"""pending"""
+"""The streaming operators, run to the end of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import select as S
+from ..session import scratch_path
+from ..streaming import live
+from .pages import clean_sql
+from .registry import query
+from .sources import LINES_SQL
+
+
+def streamed(t, name):
+    """A given table as a stream of its files."""
+    schema = getattr(t, name).schema
+    return live.read_pages(t.spark, t.folder, schema, pattern=f"{name}.parquet")
+
+
+@query("live_pages", f"""
+SELECT conv_id, turn, CASE WHEN turn = 0 AND role = 'system' THEN chr(10) || '[Page ' || turn || ' - No text detected]' || chr(10) || chr(10)
+  ELSE {clean_sql('text')} END AS text FROM conversations
+""")
+def live_pages(t):
+    """Intake: clean every arriving page and append it to the page table."""
+    root = scratch_path(t.spark, "live-pages")
+    success = ~((F.col("turn") == 0) & (F.col("role") == "system"))
+    pages = streamed(t, "conversations").select(
+        "conv_id", "turn", S.text_or_placeholder(success, X.clean_text(F.col("text")), F.col("turn")).alias("text")
+    )
+    live.append_pages(pages, f"{root}/pages", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/pages")
+
+
+@query("live_end_page", LINES_SQL + """
+, marked AS (SELECT doc_id, pos, line, lag(line, 1) OVER w AS l1, lag(line, 2) OVER w AS l2
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, min(pos) AS end_page FROM marked WHERE line = l1 AND line = l2 GROUP BY doc_id
+""")
+def live_end_page(t):
+    root = scratch_path(t.spark, "live-ends")
+    pages = streamed(t, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    watch = live.SequenceWatch(f"{root}/state", "doc_id", "pos", "line", live.end_detector("line", 3), first_page=0)
+    watch.start(pages, f"{root}/checkpoint").awaitTermination()
+    return watch.ends(t.spark).withColumnRenamed("end", "end_page")
+
+
+@query("live_failure_alarm", """
+WITH l AS (SELECT event_id % 97 AS book, event_id // 97 AS page, event_type = 'error' AS failed FROM events),
+r AS (SELECT book, page, failed AND lag(failed, 1) OVER w AND lag(failed, 2) OVER w AS hit FROM l WINDOW w AS (PARTITION BY book ORDER BY page))
+SELECT book, min(page) AS alarm_page FROM r WHERE hit GROUP BY book
+""")
+def live_failure_alarm(t):
+    root = scratch_path(t.spark, "live-alarms")
+    pages = streamed(t, "events").select(
+        (F.col("event_id") % 97).alias("book"),
+        F.floor(F.col("event_id") / 97).alias("page"),
+        (F.col("event_type") == "error").alias("failed"),
+    )
+    watch = live.SequenceWatch(f"{root}/state", "book", "page", "failed", live.failure_detector("failed", 3), first_page=0)
+    watch.start(pages, f"{root}/checkpoint").awaitTermination()
+    return watch.ends(t.spark).withColumnRenamed("end", "alarm_page")
+
+
+@query("live_ledger", """
+SELECT user_id, page, event_id, event_type AS status FROM (SELECT *, hour(ts) AS page,
+  row_number() OVER (PARTITION BY user_id, hour(ts) ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1
+""")
+def live_ledger(t):
+    root = scratch_path(t.spark, "live-ledger")
+    pages = streamed(t, "events").select(
+        "user_id", F.hour("ts").cast("bigint").alias("page"), "event_id", F.col("event_type").alias("status")
+    )
+    sink = live.LedgerSink(f"{root}/ledger", "user_id", "page", ["event_id"])
+    sink.start(pages, f"{root}/checkpoint").awaitTermination()
+    return sink.current(t.spark)
+
+
+@query("live_first_delivery", "SELECT user_id, event_id, event_type FROM events")
+def live_first_delivery(t):
+    """Every event is delivered twice and kept once."""
+    root = scratch_path(t.spark, "live-repeats")
+    twice = streamed(t, "events").select(
+        "user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"),
+    )
+    once = live.drop_repeats(twice, ["user_id", "event_id"], "ts").select("user_id", "event_id", "event_type")
+    live.append_pages(once, f"{root}/pages", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/pages")
