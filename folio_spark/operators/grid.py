@@ -518,14 +518,18 @@ def dominant_angle(points: DataFrame, votes: int = 200, least: float = 0.5) -> D
 
 
 def projection_angle(points: DataFrame, limit: int = 10) -> DataFrame:
-    """Angle whose row projection varies most; the flattest such angle on ties."""
+    """Angle at which the points crowd into the fewest rows; the flattest such angle on ties.
+
+    The measure is the sum of squared row counts. It orders angles as the variance
+    over all rows would, and empty rows need not be listed for it.
+    """
     turned = points.select("gid", "y", "x", F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("angle"))
     a = F.radians(F.col("angle").cast("double"))
     row = F.rint(F.round(F.col("y") * F.cos(a) - F.col("x") * F.sin(a), 9)).cast("int")
     rows = turned.groupBy("gid", "angle", row.alias("row")).agg(F.count(F.lit(1)).alias("n"))
-    spread_ = rows.groupBy("gid", "angle").agg(F.round(F.var_pop("n"), 6).alias("variance"))
-    best = F.max_by(F.struct("angle", "variance"), F.struct("variance", -F.abs("angle"), -F.col("angle")))
-    return spread_.groupBy("gid").agg(best.alias("b")).select("gid", "b.*")
+    crowded = rows.groupBy("gid", "angle").agg(F.sum(F.col("n") * F.col("n")).alias("energy"))
+    best = F.max_by(F.struct("angle", "energy"), F.struct("energy", -F.abs("angle"), -F.col("angle")))
+    return crowded.groupBy("gid").agg(best.alias("b")).select("gid", "b.*")
 
 
 def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: bool = False) -> DataFrame:

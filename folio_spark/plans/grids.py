@@ -292,9 +292,9 @@ def dominant_angle(t):
 @query("grid_projection", f"WITH {ACTIVITY_SQL}" + """
 , pts AS (SELECT gid, y, x FROM g WHERE v > 150),
 rows_ AS (SELECT gid, a AS angle, round_even(round(y * cos(radians(a)) - x * sin(radians(a)), 9), 0)::INT AS r, count(*) AS n FROM pts, range(-10, 11) t(a) GROUP BY ALL),
-var AS (SELECT gid, angle, round(var_pop(n), 6) AS variance FROM rows_ GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY variance DESC, abs(angle), angle) AS rn FROM var)
-SELECT gid, angle::INT AS angle, variance FROM best WHERE rn = 1
+energies AS (SELECT gid, angle, sum(n * n)::BIGINT AS energy FROM rows_ GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY energy DESC, abs(angle), angle) AS rn FROM energies)
+SELECT gid, angle::INT AS angle, energy FROM best WHERE rn = 1
 """)
 def grid_projection(t):
     return G.projection_angle(activity(t).filter("v > 150"))
