@@ -1,12 +1,14 @@
 """Neighbourhood analytics on grid tables ``(gid, y, x, v)``: many dense 2-D arrays.
 
-Two building blocks carry most operators:
+Three building blocks carry most operators:
 
 * ``stencil`` sends every cell to the cells whose window it lies in and reduces
   there. The shuffle key is the single cell, so neither a huge grid nor a hot
   ``gid`` ends up in one task, and sums, minima and maxima combine map-side.
 * ``along_axis`` does the same for one axis; a separable window costs 2k sends
-  per cell instead of k*k.
+  per cell instead of k*k;
+* ``over_windows`` packs cells into small tiles with their surroundings, for
+  reductions that cannot be combined on the way.
 
 Offsets and weights are literals of fixed size inside the plan, not joined tables.
 Cells outside the grid exist only virtually: border rules say at which outside
@@ -22,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 CELL = ["gid", "h", "w", "y", "x"]
 REFLECT, REPLICATE, NEUTRAL = "reflect", "replicate", "neutral"
 
@@ -155,11 +159,75 @@ def square(size: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
 
 
+TILE = 32
+
+
+def tiles(grid: DataFrame, reach: int, border: str, span: int = TILE) -> DataFrame:
+    """One row per ``span`` x ``span`` tile with the values of its cells and their surroundings.
+
+    ``_vals`` holds the tile row by row with ``reach`` cells around it. For windows
+    that cannot be combined on the way (medians, likeness weights) this ships a
+    cell about ``(1 + 2 reach / span)**2`` times instead of once per window place.
+    """
+    out = sized(grid)
+    for axis, size in (("y", "h"), ("x", "w")):
+        u = F.col(axis)
+        out = out.withColumn(axis, F.explode(appearances(u.cast("int"), F.col(size), reach, border)))
+        first = F.greatest(F.floor((u - reach) / span), F.lit(0)).cast("int")
+        last = F.floor(F.least(u + reach, F.col(size) - 1) / span).cast("int")
+        out = out.withColumn(f"_t{axis}", F.explode(F.sequence(first, last)))
+    cells = F.sort_array(F.collect_list(F.struct("y", "x", "v")))
+    packed = out.groupBy("gid", "h", "w", "_ty", "_tx").agg(
+        F.transform(cells, lambda c: c["v"]).alias("_vals")
+    )
+    side = lambda t, n: F.least((F.col(t) + 1) * span, F.col(n)) - F.col(t) * span
+    packed = packed.withColumns({"_rows": side("_ty", "h"), "_cols": side("_tx", "w")})
+    full = (F.col("_rows") + 2 * reach) * (F.col("_cols") + 2 * reach)
+    dense = F.when(F.size("_vals") == full, F.col("_vals")).otherwise(
+        F.raise_error(F.lit("grid has missing or repeated cells")).cast("array<double>")
+    )
+    return packed.withColumn("_vals", dense)
+
+
+def over_windows(grid: DataFrame, offsets: Sequence[tuple], names: Sequence[str], border: str, value, span=TILE):
+    """``value(places, at, centre)`` for every cell.
+
+    ``places`` is the literal array of offsets, ``at(place)`` the value there and
+    ``centre`` the cell's own value.
+    """
+    reach = max(max(abs(o[0]), abs(o[1])) for o in offsets)
+    places = _literal(offsets, ["dy", "dx", *names])
+    width = F.col("_cols") + 2 * reach
+
+    def of_cell(p):
+        home = (F.floor(p / F.col("_cols")).cast("int") + reach) * width + p % F.col("_cols") + reach
+        return let(
+            home,
+            lambda b: let(
+                F.get("_vals", b),
+                lambda c: value(places, lambda o: F.get("_vals", b + o["dy"] * width + o["dx"]), c),
+            ),
+        )
+
+    cells = F.sequence(F.lit(0), F.col("_rows") * F.col("_cols") - 1)
+    done = tiles(grid, reach, border, span).select(
+        "gid", "h", "w", "_ty", "_tx", "_cols", F.posexplode(F.transform(cells, of_cell)).alias("_p", "v")
+    )
+    return done.select(
+        "gid", "h", "w",
+        (F.col("_ty") * span + F.floor(F.col("_p") / F.col("_cols"))).cast("int").alias("y"),
+        (F.col("_tx") * span + F.col("_p") % F.col("_cols")).cast("int").alias("x"),
+        "v",
+    )
+
+
 def median(grid: DataFrame, size: int = 3) -> DataFrame:
-    """Median of the window, edges repeated. A window is at most size*size values."""
-    sent = spread(grid, square(size), [], REPLICATE)
-    values = F.sort_array(F.collect_list("v"))
-    return sent.groupBy(*CELL).agg(F.element_at(values, size * size // 2 + 1).alias("v"))
+    """Median of the window, edges repeated."""
+    middle = F.lit(size * size // 2)
+    return over_windows(
+        grid, square(size), [], REPLICATE,
+        lambda places, at, c: F.get(F.sort_array(F.transform(places, at)), middle),
+    )
 
 
 def bilateral(
@@ -172,25 +240,23 @@ def bilateral(
         for dy, dx in square(diameter)
         if dy * dy + dx * dx <= r * r
     ]
-    centre = sized(grid).withColumn("_c", F.col("v"))
-    sent = spread(centre, near, ["_wt"], REFLECT)
-    window = sent.groupBy(*CELL).agg(
-        F.collect_list(F.struct("v", "_wt")).alias("_n"),
-        F.max(F.when((F.col("_dy") == 0) & (F.col("_dx") == 0) , F.col("v"))).alias("_c"),
-    )
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
 
-    def likeness(n):
-        diff = n["v"] - F.col("_c")
-        return n["_wt"] * F.exp(-(diff * diff) / (2 * sigma_color**2))
+    def smooth(places, at, c):
+        def term(o):
+            return let(at(o), lambda v: F.struct(
+                v.alias("v"), (o["wt"] * F.exp((v - c) * (c - v) / (2 * sigma_color**2))).alias("t")
+            ))
+
+        return F.aggregate(
+            F.transform(places, term),
+            zero,
+            lambda a, n: F.struct((a["s"] + n["v"] * n["t"]).alias("s"), (a["t"] + n["t"]).alias("t")),
+            lambda a: a["s"] / a["t"],
+        )
 
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
-    total = F.aggregate(
-        "_n",
-        zero,
-        lambda a, n: F.struct((a["s"] + likeness(n) * n["v"]).alias("s"), (a["t"] + likeness(n)).alias("t")),
-        lambda a: a["s"] / a["t"],
-    )
-    return window.select(*CELL, as_u8(total, u8).alias("v"))
+    out = over_windows(grid, near, ["wt"], REFLECT, smooth)
+    return out.withColumn("v", as_u8(F.col("v"), u8))
 
 
 def sharpen_kernel(kind: str = "default", strength: float = 1.0) -> list[list[float]]:
@@ -380,7 +446,7 @@ def clahe(grid: DataFrame, clip: float = 2.0, tiles: tuple[int, int] = (8, 8)) -
     asked = placed.select(*CELL, "level", F.explode(corners).alias("_c")).select(*CELL, "level", "_c.*")
     mapped = asked.join(maps, ["gid", "ty", "tx"])
     value = F.sum(F.col("wt") * F.element_at("_map", F.col("level") + 1))
-    return mapped.groupBy(*CELL).agg(as_u8(value).alias("v"))
+    return mapped.groupBy(*CELL).agg(as_u8(F.round(value, 9)).alias("v"))
 
 
 def _triangle(t: Column) -> Column:
@@ -572,10 +638,10 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
     ``array<bigint>`` of 64-bit words, lowest coefficient in the lowest bit.
     """
     side = hash_size * factor
-    grid = sized(grid)
+    grid = source_grid = sized(grid)
     for axis, size in (("y", "h"), ("x", "w")):
         other = "x" if axis == "y" else "y"
-        sizes = grid.select(F.col(size).alias("_n")).distinct()
+        sizes = source_grid.select(F.col(size).alias("_n")).distinct()
         source = sizes.select("_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
         fine = source.select(
             "_n", "_i", F.inline(resample_targets(F.col("_i"), F.col("_n"), F.lit(side), "lanczos"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .assemble import strip
 
 # Names of the layout levels, default region line pitch, luma weights.
@@ -45,14 +46,19 @@ def bbox(left, top, width, height, confidence) -> Column:
 
 def bbox_from_polygon(vertices: Column) -> Column:
     """Bounding box of ``array<struct<x,y>>``; fewer than four vertices give zeros."""
-    xs = F.transform(vertices, lambda p: p["x"])
-    ys = F.transform(vertices, lambda p: p["y"])
     zero = F.lit(0)
-    left, top = F.array_min(xs), F.array_min(ys)
-    full = bbox(left, top, F.array_max(xs) - left, F.array_max(ys) - top, F.lit(0.95))
-    return F.when(F.coalesce(F.size(vertices), zero) >= 4, full).otherwise(
-        bbox(zero, zero, zero, zero, F.lit(0.0))
-    )
+    none = bbox(zero, zero, zero, zero, F.lit(0.0))
+
+    def box(points):
+        xs = F.transform(points, lambda p: p["x"])
+        ys = F.transform(points, lambda p: p["y"])
+        corner = F.struct(
+            F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b")
+        )
+        full = let(corner, lambda c: bbox(c["l"], c["t"], c["r"] - c["l"], c["b"] - c["t"], F.lit(0.95)))
+        return F.when(F.size(points) >= 4, full).otherwise(none)
+
+    return F.coalesce(let(vertices, box), none)
 
 
 def bbox_from_corners(corners: Column, index: Column, confidence: Column) -> Column:

@@ -152,6 +152,26 @@ def failure_alarm(
     return first_run(df, book, page, F.col(failed), k, name=name, width=width)
 
 
+def failure_alarms(
+    df: DataFrame, book, page: str, failed: str, lengths: Sequence[int], *, width: int = CHUNK
+) -> DataFrame:
+    """``(book, k, abort_page)`` for several run lengths in one pass."""
+    keys = keys_of(book)
+    rows = df.select(*keys, page, F.coalesce(F.col(failed), F.lit(False)).cast("int").alias("_hit"))
+    near = with_neighbours(rows, page, before=max(lengths) - 1, width=width)
+    by_page = Window.partitionBy(*keys, _CHUNK).orderBy(page)
+    runs = {
+        f"_run{k}": F.sum("_hit").over(by_page.rowsBetween(-(k - 1), Window.currentRow)) for k in lengths
+    }
+    firsts = near.withColumns(runs).filter(_OWN).groupBy(*keys).agg(
+        *[F.min(F.when(F.col(f"_run{k}") == k, F.col(page))).alias(f"_first{k}") for k in lengths]
+    )
+    found = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"_first{k}").alias("abort_page")) for k in lengths
+    ])
+    return firsts.select(*keys, F.inline(found)).filter(F.col("abort_page").isNotNull())
+
+
 def cut_after(
     df: DataFrame, cuts: DataFrame, book, page: str, cut: str, *, inclusive: bool = True
 ) -> DataFrame:

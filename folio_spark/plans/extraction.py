@@ -45,7 +45,7 @@ PLAIN_SQL = plain_sql(sections_sql("html", ALL_TAGS))
 def block_rows(t):
     """Every block of every page, navigation included."""
     blocks = E.html_blocks(F.col("html"), ALL_TAGS)
-    return t.pages.select("page_id", F.posexplode(blocks).alias("ord", "b")).select("page_id", "ord", "b.*")
+    return t.spread("pages").select("page_id", F.posexplode(blocks).alias("ord", "b")).select("page_id", "ord", "b.*")
 
 
 @query("extract_blocks", BODY_BLOCKS_SQL + """
@@ -54,7 +54,7 @@ def block_rows(t):
 SELECT page_id, text, n AS blocks, round(length(text) / size, 6) AS confidence, true AS success FROM texts
 """)
 def extract_blocks(t):
-    out = E.create("HTML_blocks").apply(t.pages.select("page_id", "html"), "html")
+    out = E.create("HTML_blocks").apply(t.spread("pages").select("page_id", "html"), "html")
     return out.select(
         "page_id",
         "result.text",
@@ -69,7 +69,7 @@ WITH p AS (SELECT page_id, length(html) AS size, {PLAIN_SQL} AS text FROM pages)
 SELECT page_id, text, round(length(text) / size, 6) AS confidence, text <> '' AS success FROM p
 """)
 def extract_plain(t):
-    out = E.create("html_plain").apply(t.pages.select("page_id", "html"), "html")
+    out = E.create("html_plain").apply(t.spread("pages").select("page_id", "html"), "html")
     return out.select("page_id", "result.text", F.round("result.confidence", 6).alias("confidence"), "result.success")
 
 
@@ -88,7 +88,7 @@ FROM second s LEFT JOIN primary_ p USING (page_id)
 """)
 def extract_fallback(t):
     out = E.extract_with_fallback(
-        t.pages.select("page_id", "html"), "html", E.preference(["html_blocks"]), min_confidence=0.7
+        t.spread("pages").select("page_id", "html"), "html", E.preference(["html_blocks"]), min_confidence=0.7
     )
     return out.select("page_id", "result.engine", "result.text", "result.success")
 
@@ -148,7 +148,7 @@ SELECT page_id, ord::INT AS ord, tag AS block_type, round(mean, 6) AS average, h
 """)
 def heading_blocks(t):
     marked = E.mark_headings(E.html_blocks(F.col("html"), ALL_TAGS))
-    rows = t.pages.select("page_id", F.inline(marked)).drop("score", "text")
+    rows = t.spread("pages").select("page_id", F.inline(marked)).drop("score", "text")
     return rows.withColumn("average", F.round("average", 6))
 
 
@@ -167,7 +167,7 @@ WHERE 0.3 * tall::INT + 0.7 * (ord = 0)::INT >= 0.5 OR heading
 """)
 def heading_score(t):
     marked = E.mark_headings(E.html_blocks(F.col("html"), ALL_TAGS))
-    rows = t.pages.select("page_id", F.inline(marked))
+    rows = t.spread("pages").select("page_id", F.inline(marked))
     kept = rows.filter((F.col("score") >= 0.5) | F.col("heading"))
     return kept.select("page_id", "ord", F.round("score", 4).alias("score"))
 
@@ -180,4 +180,4 @@ def contents_of_blocks(t):
     """Blocks to Markdown to a table of contents, all within the page's row."""
     marked = E.mark_headings(E.html_blocks(F.col("html"), ALL_TAGS))
     lines = F.array_join(F.transform(marked, lambda b: b["line"]), "\n")
-    return t.pages.select("page_id", X.table_of_contents(lines).alias("toc"))
+    return t.spread("pages").select("page_id", X.table_of_contents(lines).alias("toc"))

@@ -47,7 +47,7 @@ U8 = "least(255.0, greatest(0.0, round_even({v}, 0)))"
 
 def vectors(t):
     cells = F.posexplode(F.transform("embedding", lambda e: G.as_u8(128 + 256 * e.cast("double")))).alias("i", "v")
-    flat = t.embeddings.select(F.col("vec_id").alias("gid"), cells)
+    flat = t.spread("embeddings").select(F.col("vec_id").alias("gid"), cells)
     return flat.select(
         "gid",
         F.floor(F.col("i") / 8).cast("int").alias("y"),
@@ -201,7 +201,27 @@ def grid_equalize(t):
     return shown(G.equalize(vectors(t)))
 
 
-@query("grid_clahe")
+# 31 x 24 cells in 4 x 4 tiles: neither side divides, so both grow (to 32 x 28).
+CLAHE_SQL = f"""
+, full_ AS (SELECT g.gid, a.y // 8 AS ty, b.x // 7 AS tx, g.v::INT AS lv FROM range(32) a(y), range(28) b(x), g
+   WHERE g.y = {mirror('a.y', 31)} AND g.x = {mirror('b.x', 24)}),
+hist AS (SELECT gid, ty, tx, lv, count(*) AS n FROM full_ GROUP BY ALL),
+bins AS (SELECT t.gid, t.ty, t.tx, l.lv, coalesce(n, 0) AS n FROM (SELECT DISTINCT gid, ty, tx FROM hist) t CROSS JOIN range(256) l(lv)
+   LEFT JOIN hist h ON h.gid = t.gid AND h.ty = t.ty AND h.tx = t.tx AND h.lv = l.lv),
+over_ AS (SELECT gid, ty, tx, sum(greatest(n - 1, 0)) AS ex FROM bins GROUP BY ALL),
+fixed AS (SELECT b.*, least(n, 1) + ex // 256 + CASE WHEN ex % 256 > 0 AND lv % greatest(256 // greatest(ex % 256, 1), 1) = 0
+   AND lv // greatest(256 // greatest(ex % 256, 1), 1) < ex % 256 THEN 1 ELSE 0 END AS m FROM bins b JOIN over_ o USING (gid, ty, tx)),
+lut AS (SELECT gid, ty, tx, lv, least(255.0, round_even(sum(m) OVER (PARTITION BY gid, ty, tx ORDER BY lv) * (255.0::DOUBLE / 56), 0)) AS out_ FROM fixed),
+pos AS (SELECT gid, y, x, v::INT AS lv, y / 8.0::DOUBLE - 0.5 AS fy, x / 7.0::DOUBLE - 0.5 AS fx FROM g),
+taps AS (SELECT p.*, greatest(0, least(3, floor(fy) + j)) AS ty, greatest(0, least(3, floor(fx) + i)) AS tx,
+   (CASE j WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE i WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS wt
+   FROM pos p, range(2) a(j), range(2) b(i))
+SELECT t.gid, t.y, t.x, least(255.0, greatest(0.0, round_even(round(sum(wt * out_), 9), 0))) AS v
+FROM taps t JOIN lut l ON l.gid = t.gid AND l.ty = t.ty AND l.tx = t.tx AND l.lv = t.lv GROUP BY t.gid, t.y, t.x
+"""
+
+
+@query("grid_clahe", f"WITH {ACTIVITY_SQL} {CLAHE_SQL}")
 def grid_clahe(t):
     return shown(G.clahe(activity(t), 2.0, (4, 4)))
 
@@ -266,7 +286,26 @@ def grid_trim(t):
     return shown(C.trim_margins(activity(t), margin_threshold=160, kernel=(2, 2), pad=1))
 
 
-@query("grid_edges")
+def sobel_cte(name, kernel):
+    k = kernel_sql(G.weighted(kernel)).replace("k(", f"k_{name}(")
+    return k + ", " + window_sql(name, "g", f"k_{name}", clamp, "sum(s.v * k.wt)")
+
+
+EDGES_SQL = ", " + sobel_cte("gx", G.SOBEL_X) + ", " + sobel_cte("gy", G.SOBEL_Y) + """
+, slope AS (SELECT gid, y, x, gx.v AS a, gy.v AS b, abs(gx.v) + abs(gy.v) AS m FROM gx JOIN gy USING (gid, y, x)),
+way AS (SELECT *, CASE WHEN abs(b) < abs(a) * tan(pi() / 8) THEN 0 WHEN abs(b) > abs(a) * tan(3 * pi() / 8) THEN 1 ELSE 2 END AS dir,
+   CASE WHEN a * b < 0 THEN -1 ELSE 1 END AS s FROM slope WHERE m > 150),
+ridge AS (SELECT w.gid, w.y, w.x, w.m > 400 AS strong FROM way w
+   LEFT JOIN slope p ON p.gid = w.gid AND p.y = w.y - CASE dir WHEN 0 THEN 0 ELSE 1 END AND p.x = w.x - CASE dir WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE s END
+   LEFT JOIN slope n ON n.gid = w.gid AND n.y = w.y + CASE dir WHEN 0 THEN 0 ELSE 1 END AND n.x = w.x + CASE dir WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE s END
+   WHERE w.m > coalesce(p.m, 0) AND CASE dir WHEN 2 THEN w.m > coalesce(n.m, 0) ELSE w.m >= coalesce(n.m, 0) END),
+kept(gid, y, x) AS (SELECT gid, y, x FROM ridge WHERE strong
+   UNION SELECT r.gid, r.y, r.x FROM kept k JOIN ridge r ON r.gid = k.gid AND abs(r.y - k.y) <= 1 AND abs(r.x - k.x) <= 1)
+SELECT gid, y, x FROM kept
+"""
+
+
+@query("grid_edges", f"WITH RECURSIVE {ACTIVITY_SQL} {EDGES_SQL}")
 def grid_edges(t):
     return C.edges(activity(t), 150, 400).select("gid", "y", "x")
 

@@ -32,7 +32,7 @@ SELECT conv_id, turn // 1000 AS part, count(*) AS pages, min(turn) AS first_page
 FROM conversations GROUP BY conv_id, part
 """)
 def assemble_pages(t):
-    pages = t.conversations.select("conv_id", "turn", X.clean_text(F.col("text")).alias("text"))
+    pages = t.spread("conversations").select("conv_id", "turn", X.clean_text(F.col("text")).alias("text"))
     return A.assemble_pages(pages, "conv_id", "turn", "text")
 
 
@@ -140,7 +140,7 @@ def bbox_polygon(t):
     corners = F.array(point(a, c), point(b, c), point(b, d), point(a, d))
     seen = F.when(F.col("l_linenumber") % 4 == 0, F.slice(corners, 1, 3)).otherwise(corners)
     box = S.bbox_from_polygon(seen)
-    return t.lineitem.select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+    return t.spread("lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.*")
 
 
 @query("bbox_corners", """
@@ -252,4 +252,4 @@ def nested_text(t):
     """Every document as blocks (lines) of one paragraph each, of words, of characters."""
     words = lambda line: F.transform(F.split(line, " "), lambda w: F.split(w, ""))
     blocks = F.transform(F.split("text", "\n"), lambda line: F.array(words(line)))
-    return t.documents.select("doc_id", A.nested_text(blocks).alias("text"))
+    return t.spread("documents").select("doc_id", A.nested_text(blocks).alias("text"))

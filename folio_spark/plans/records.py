@@ -60,7 +60,7 @@ SELECT event_id, json_extract_string(j, '$.ocr.engine') AS engine, 30::INT AS ti
 """)
 def json_typed(t):
     options = R.typed_record(config(), OPTIONS, {"ocr": {"engine": "none", "timeout": 30, "limits": {"k": 0, "max": 0.5}}})
-    return t.events.select("event_id", options.alias("o")).select(
+    return t.spread("events").select("event_id", options.alias("o")).select(
         "event_id", "o.ocr.engine", "o.ocr.timeout", "o.ocr.limits.k", "o.ocr.limits.max"
     )
 
@@ -85,7 +85,7 @@ def json_extract(t):
         .when(kind == "click", F.concat(F.lit("Here it is:\n"), record, F.lit("\nThat is all.")))
         .otherwise(F.concat(F.lit("no record, only prose about "), k))
     )
-    return t.events.select("event_id", R.review_record(answer).alias("r")).select(
+    return t.spread("events").select("event_id", R.review_record(answer).alias("r")).select(
         "event_id", "r.summary.total_issues", F.col("r.overall_comment").alias("comment")
     )
 

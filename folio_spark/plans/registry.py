@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT = 128 * 1024 * 1024
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,6 +21,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy per-row work.
+
+        A small table is a single row group and so a single task; it is dealt out
+        to all cores first. A table large enough to fill the cores by its own
+        splits is left alone.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return df.repartition(cores) if int(str(size)) < cores * SPLIT else df
+
 
 def query(name: str, sql: str | None = None):
     """Register ``build(tables)`` under ``name`` with its checking SQL."""

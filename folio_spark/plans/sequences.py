@@ -73,10 +73,7 @@ WHERE hit GROUP BY user_id"""
 
 @query("failure_runs", LEDGER_SQL + alarm_sql(3) + " UNION ALL " + alarm_sql(5))
 def failure_runs(t):
-    pages = ledger(t)
-    return Q.failure_alarm(pages, "user_id", "page", "failed", 3).withColumn("k", F.lit(3)).unionByName(
-        Q.failure_alarm(pages, "user_id", "page", "failed", 5).withColumn("k", F.lit(5))
-    )
+    return Q.failure_alarms(ledger(t), "user_id", "page", "failed", [3, 5])
 
 
 @query("abort_on_failures", LEDGER_SQL + f"""
