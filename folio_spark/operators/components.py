@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .grid import CELL, binarize, morphology, sized, thin_edges
+from .grid import CELL, binarize, join_per_grid, morphology, sized, thin_edges
 
 SPAN = 4096
 MAX_ROUNDS = 60
@@ -139,7 +139,7 @@ def trim_margins(
         (F.col("_bottom") - F.col("_top")) > F.col("h") * TRIM_FULL
     )
     boxes = boxes.filter(~full).drop("h", "w")
-    joined = grid.join(boxes, "gid", "left")
+    joined = join_per_grid(grid, boxes, "left")
     kept = joined.filter(
         F.col("_top").isNull()
         | (F.col("y") >= F.col("_top")) & (F.col("y") < F.col("_bottom"))
@@ -158,4 +158,4 @@ def edges(grid: DataFrame, low: float = 50, high: float = 150) -> DataFrame:
     """Edge cells: ridges connected to at least one strong cell."""
     labelled = regions(thin_edges(grid, low, high))
     anchored = labelled.filter("strong").select("gid", "label").distinct()
-    return labelled.join(anchored, ["gid", "label"], "left_semi").select(*CELL)
+    return join_per_grid(labelled, anchored, "left_semi", keys=("gid", "label")).select(*CELL)

@@ -22,7 +22,8 @@ from ..schema import BLOCK, RESULT
 from .assemble import joined_blocks, strip
 from .progress import DEFAULT_CONFIDENCE
 from .select import bbox
-from .sequence import keys_of
+from .sequence import keys_of, page_chunk
+from .skew import join_by_chunk
 
 # Block tags with their line heights, dropped sections, entities.
 TAG_HEIGHTS = {"h1": 40, "h2": 30, "h3": 25, "li": 25, "p": 20}
@@ -265,11 +266,11 @@ def mark_headings(blocks: Column, *, position_weight: float = 0.7) -> Column:
     return let(blocks, marked)
 
 
-def heading_blocks(blocks: DataFrame, page, height: str, kind: str, text: str) -> DataFrame:
-    """The same verdict for a table of blocks: page averages by a grouped join."""
+def heading_blocks(blocks: DataFrame, page, order: str, height: str, kind: str, text: str) -> DataFrame:
+    """The same verdict for a table of blocks: page averages are joined back."""
     keys = keys_of(page)
     averages = blocks.groupBy(*keys).agg(F.avg(height).alias("average"))
-    joined = blocks.join(averages, keys)
+    joined = join_by_chunk(blocks, averages, keys, {"_chunk": page_chunk(order)})
     h, a = F.col(height), F.col("average")
     verdict = is_heading(F.col(kind), h, a, F.col(text))
     return joined.withColumn("heading", verdict).withColumn(

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from .skew import join_by_chunk
 
 CELL = ["gid", "h", "w", "y", "x"]
 REFLECT, REPLICATE, NEUTRAL = "reflect", "replicate", "neutral"
@@ -44,14 +45,39 @@ SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 CUBIC = -0.75
 
 
+BLOCK = 64
+
+
+def block_of() -> dict[str, Column]:
+    """Square blocks of cells: the pieces a large grid is joined by."""
+    return {
+        "_by": F.floor(F.col("y") / BLOCK).cast("int"),
+        "_bx": F.floor(F.col("x") / BLOCK).cast("int"),
+    }
+
+
+def join_per_grid(grid: DataFrame, per_grid: DataFrame, how: str = "inner", keys: Sequence[str] = ("gid",)):
+    """Join a table with one row per grid (or ``keys``) to the cells, block by block."""
+    return join_by_chunk(grid, per_grid, list(keys), block_of(), how)
+
+
 def sized(grid: DataFrame) -> DataFrame:
-    """Add height and width unless present (partial aggregation, one row per grid)."""
+    """Add height and width unless present.
+
+    Extents are reduced to one row per block of cells; only those rows are looked
+    at grid by grid.
+    """
     if "h" in grid.columns and "w" in grid.columns:
         return grid
-    sizes = grid.groupBy("gid").agg(
-        (F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w")
+    cells = grid.withColumns(block_of())
+    blocks = cells.groupBy("gid", "_by", "_bx").agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
+    whole = Window.partitionBy("gid")
+    sizes = blocks.select(
+        "gid", "_by", "_bx",
+        (F.max("_y").over(whole) + 1).cast("int").alias("h"),
+        (F.max("_x").over(whole) + 1).cast("int").alias("w"),
     )
-    return grid.join(sizes, "gid")
+    return cells.join(sizes, ["gid", "_by", "_bx"]).drop("_by", "_bx")
 
 
 def as_u8(value: Column, u8: bool = True) -> Column:
@@ -355,7 +381,7 @@ def binarize(grid: DataFrame, method: str = "otsu", threshold: float = 127, bloc
     grid = sized(grid)
     if method == "otsu":
         levels = otsu_threshold(grid)
-        return grid.join(levels, "gid").select(*CELL, cut(F.col("v"), F.col("threshold")).alias("v"))
+        return join_per_grid(grid, levels).select(*CELL, cut(F.col("v"), F.col("threshold")).alias("v"))
     if method == "adaptive":
         block += 1 - block % 2
         local = gaussian(grid, (block, block), border=REPLICATE, u8=True)
@@ -373,9 +399,11 @@ def equalize(grid: DataFrame) -> DataFrame:
     ).withColumn("_low", F.min("_cum").over(whole))
     share = (F.col("_cum") - F.col("_low")) / (F.col("_n") - F.col("_low"))
     mapped = F.when(F.col("_n") == F.col("_low"), F.col("level").cast("double")).otherwise(F.rint(share * 255.0))
-    table = levels.select("gid", "level", mapped.alias("_v"))
-    cells = sized(grid).withColumn("level", as_u8(F.col("v")).cast("int"))
-    return cells.join(table, ["gid", "level"]).select(*CELL, F.col("_v").alias("v"))
+    table = levels.select("gid", "level", mapped.alias("_v")).groupBy("gid").agg(
+        F.map_from_entries(F.collect_list(F.struct("level", "_v"))).alias("_map")
+    )
+    cells = join_per_grid(sized(grid), table)
+    return cells.select(*CELL, F.element_at("_map", as_u8(F.col("v")).cast("int")).alias("v"))
 
 
 def clahe(grid: DataFrame, clip: float = 2.0, tiles: tuple[int, int] = (8, 8)) -> DataFrame:
@@ -444,7 +472,7 @@ def clahe(grid: DataFrame, clip: float = 2.0, tiles: tuple[int, int] = (8, 8)) -
         for dy in (0, 1) for dx in (0, 1)
     ])
     asked = placed.select(*CELL, "level", F.explode(corners).alias("_c")).select(*CELL, "level", "_c.*")
-    mapped = asked.join(maps, ["gid", "ty", "tx"])
+    mapped = join_per_grid(asked, maps, keys=("gid", "ty", "tx"))
     value = F.sum(F.col("wt") * F.element_at("_map", F.col("level") + 1))
     return mapped.groupBy(*CELL).agg(as_u8(F.round(value, 9)).alias("v"))
 
@@ -605,7 +633,7 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
     taps meet the source cells in an equi-join on the cell.
     """
     grid = sized(grid)
-    asked = grid.select(*CELL).join(angles.select("gid", "angle"), "gid")
+    asked = join_per_grid(grid.select(*CELL), angles.select("gid", "angle"))
     a = F.radians("angle")
     cy, cx = F.floor(F.col("h") / 2), F.floor(F.col("w") / 2)
     dy, dx = F.col("y") - cy, F.col("x") - cx
@@ -626,16 +654,21 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
     turned = wanted.join(source, ["gid", "ty", "tx"]).groupBy(*CELL).agg(
         as_u8(F.sum(F.col("v") * F.col("wt")), u8).alias("v")
     )
-    still = grid.join(angles.select("gid"), "gid", "left_anti")
+    still = join_per_grid(grid, angles.select("gid"), "left_anti")
     return turned.unionByName(still.select(*CELL, as_u8(F.col("v"), u8).alias("v")))
 
 
+MAX_WEIGHT_ROWS = 100_000
+
+
 def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
     """Perceptual signature: low frequencies of the shrunk grid, one bit above their median.
 
     Shrinking and the cosine transform are linear along an axis, so both are
-    folded into one weight table per occurring size. ``signature`` is an
-    ``array<bigint>`` of 64-bit words, lowest coefficient in the lowest bit.
+    folded into one weight table per occurring size. That table has one row per
+    line of each occurring size; it is broadcast only after counting those.
+    ``signature`` is an ``array<bigint>`` of 64-bit words, lowest coefficient in
+    the lowest bit.
     """
     side = hash_size * factor
     grid = source_grid = sized(grid)
@@ -657,6 +690,8 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
         folded = table.groupBy(F.col("_n").alias(size), F.col("_i").alias(axis)).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("k", "wt"))), lambda s: s["wt"]).alias("_wave")
         )
+        rows = source_grid.select(size).distinct().agg(F.sum(size)).first()[0] or 0
+        folded = F.broadcast(folded) if rows <= MAX_WEIGHT_ROWS else folded
         sent = grid.join(folded, [size, axis]).select(
             "gid", "h", "w", other, "v", F.posexplode("_wave").alias("_k", "_wt")
         )

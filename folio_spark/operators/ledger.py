@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequence import CHUNK, keys_of, page_chunk
+from .skew import join_by_chunk
 
 IN_PROGRESS, COMPLETED, FAILED = "in_progress", "completed", "failed"
 STATE_PART = 1000
@@ -38,10 +39,10 @@ def latest_state(attempts: DataFrame, book, order: list[str]) -> DataFrame:
     return attempts.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
-def drop_completed(ledger: DataFrame, states: DataFrame, book) -> DataFrame:
+def drop_completed(ledger: DataFrame, states: DataFrame, book, page: str) -> DataFrame:
     """Ledger rows of the books that are not completed yet."""
     done = states.filter(F.col("status") == COMPLETED).select(*keys_of(book))
-    return ledger.join(done, keys_of(book), "left_anti")
+    return join_by_chunk(ledger, done, keys_of(book), {"_chunk": page_chunk(page)}, "left_anti")
 
 
 def list_states(pages: DataFrame, book, page: str, failed: str, total: Column) -> DataFrame:

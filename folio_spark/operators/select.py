@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from .assemble import strip
+from .grid import sized
 
 # Names of the layout levels, default region line pitch, luma weights.
 BLOCK_LEVELS = {2: "block", 3: "paragraph", 4: "line", 5: "word"}
@@ -128,11 +129,5 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 
 def max_size_guard(grid: DataFrame, max_width: int = 3000, max_height: int = 3000) -> DataFrame:
-    """Whole grids no larger than the limit (sizes by partial aggregation, then a join)."""
-    fits = (
-        grid.groupBy("gid")
-        .agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
-        .filter((F.col("_y") < max_height) & (F.col("_x") < max_width))
-        .select("gid")
-    )
-    return grid.join(fits, "gid", "left_semi")
+    """Whole grids no larger than the limit."""
+    return sized(grid).filter((F.col("h") <= max_height) & (F.col("w") <= max_width))

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_by_chunk
+
 CHUNK = 4096
 _CHUNK, _OWN = "_chunk", "_own"
 
@@ -63,6 +65,7 @@ def number_pages(
     """
     keys = keys_of(book)
     rows = df.withColumn(_CHUNK, chunk)
+    placed = rows.repartition(*keys, _CHUNK)
     counts = rows.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
         Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +75,7 @@ def number_pages(
     )
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     return (
-        rows.withColumn("_rank", F.row_number().over(inside))
+        placed.withColumn("_rank", F.row_number().over(inside))
         .join(offsets, [*keys, _CHUNK])
         .withColumn(name, (F.col("_before") + F.col("_rank") + F.lit(start - 1)).cast("bigint"))
         .drop(_CHUNK, "_rank", "_before")
@@ -80,12 +83,14 @@ def number_pages(
 
 
 def with_neighbours(
-    df: DataFrame, page: str, *, before: int = 0, after: int = 0, width: int = CHUNK
+    df: DataFrame, book: str | Sequence[str], page: str, *, before: int = 0, after: int = 0, width: int = CHUNK
 ) -> DataFrame:
     """Place every page in its chunk, and border pages also in the next one.
 
     Adds ``_chunk`` and ``_own`` (false on the borrowed copies). ``before`` and
     ``after`` say how many neighbours a page must see; both are at most ``width``.
+    The result is shuffled by book and chunk even if the input is laid out by book,
+    which the windows over it would otherwise accept.
     """
     if max(before, after) > width:
         raise ValueError("neighbourhood is wider than a chunk")
@@ -96,7 +101,8 @@ def with_neighbours(
     if after:
         places.append(page_chunk(F.col(page) - after, width))
     spread = F.explode(F.array_distinct(F.array(*places))) if len(places) > 1 else home
-    return df.withColumn(_CHUNK, spread).withColumn(_OWN, F.col(_CHUNK) == home)
+    placed = df.withColumn(_CHUNK, spread).withColumn(_OWN, F.col(_CHUNK) == home)
+    return placed.repartition(*keys_of(book), _CHUNK)
 
 
 def previous_page(
@@ -109,7 +115,7 @@ def previous_page(
 ) -> DataFrame:
     """Add columns of the preceding page; ``values`` maps new name to column."""
     w = Window.partitionBy(*keys_of(book), _CHUNK).orderBy(page)
-    out = with_neighbours(df, page, before=1, width=width)
+    out = with_neighbours(df, book, page, before=1, width=width)
     out = out.withColumns({new: F.lag(old).over(w) for new, old in values.items()})
     return out.filter(_OWN).drop(_CHUNK, _OWN)
 
@@ -130,7 +136,7 @@ def runs_of(
     )
     rows = df.select(*keys, page, F.coalesce(hit, F.lit(False)).cast("int").alias("_hit"))
     return (
-        with_neighbours(rows, page, before=length - 1, width=width)
+        with_neighbours(rows, book, page, before=length - 1, width=width)
         .withColumn("_run", F.sum("_hit").over(recent))
         .filter(F.col(_OWN) & (F.col("_run") >= length))
         .select(*keys, page)
@@ -158,7 +164,7 @@ def failure_alarms(
     """``(book, k, abort_page)`` for several run lengths in one pass."""
     keys = keys_of(book)
     rows = df.select(*keys, page, F.coalesce(F.col(failed), F.lit(False)).cast("int").alias("_hit"))
-    near = with_neighbours(rows, page, before=max(lengths) - 1, width=width)
+    near = with_neighbours(rows, book, page, before=max(lengths) - 1, width=width)
     by_page = Window.partitionBy(*keys, _CHUNK).orderBy(page)
     runs = {
         f"_run{k}": F.sum("_hit").over(by_page.rowsBetween(-(k - 1), Window.currentRow)) for k in lengths
@@ -173,11 +179,11 @@ def failure_alarms(
 
 
 def cut_after(
-    df: DataFrame, cuts: DataFrame, book, page: str, cut: str, *, inclusive: bool = True
+    df: DataFrame, cuts: DataFrame, book, page: str, cut: str, *, inclusive: bool = True, width: int = CHUNK
 ) -> DataFrame:
     """Drop the pages behind each book's cut; books without a cut stay whole."""
     bound = F.col(page) <= F.col(cut) if inclusive else F.col(page) < F.col(cut)
-    joined = df.join(cuts, keys_of(book), "left")
+    joined = join_by_chunk(df, cuts, keys_of(book), {_CHUNK: page_chunk(page, width)}, "left")
     return joined.filter(F.col(cut).isNull() | bound).drop(cut)
 
 
@@ -186,7 +192,7 @@ def abort_on_failure_run(
 ) -> DataFrame:
     """Keep what was attempted up to and including the k-th failure in a row."""
     cuts = failure_alarm(df, book, page, failed, k, name="_cut", width=width)
-    return cut_after(df, cuts, book, page, "_cut")
+    return cut_after(df, cuts, book, page, "_cut", width=width)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -266,7 +272,7 @@ def sequence_states(
     keys = keys_of(book)
     ahead = Window.partitionBy(*keys, _CHUNK).orderBy(page)
     rows = with_neighbours(
-        df.select(*keys, page, content), page, after=n - 1, width=width
+        df.select(*keys, page, content), book, page, after=n - 1, width=width
     )
     later = {f"_d{j}": differs(F.col(content), F.lead(content, j).over(ahead)) for j in range(1, n)}
     rows = rows.withColumns(later).filter(_OWN)
@@ -275,7 +281,6 @@ def sequence_states(
     jump = F.coalesce(jump, F.when(F.col(f"_d{n - 1}").isNotNull(), F.lit(0)))
     steps = rows.select(*keys, _CHUNK, F.col(page).cast("bigint").alias("_page"), jump.alias("_jump"))
 
-    first = steps.groupBy(*keys).agg(F.min("_page").alias("_first"))
     chunks = steps.groupBy(*keys, _CHUNK).agg(
         F.sort_array(F.collect_list(F.struct("_page", "_jump"))).alias("_steps")
     )
@@ -295,18 +300,14 @@ def sequence_states(
 
         return F.aggregate(F.col("_steps"), start, step)
 
-    # One exit per possible entry page: the chunk start and the n-2 pages behind it.
+    # One exit per possible entry page: the chunk start, the n-2 pages behind it, and
+    # the chunk's first page, with which a book may begin.
     base = F.col(_CHUNK) * width
-    exits = chunks.join(first, keys).select(
+    entries = [base + e for e in range(n - 1)] + [F.element_at("_steps", 1)["_page"]]
+    exits = chunks.select(
         *keys,
         F.col(_CHUNK).alias("_level"),
-        F.array(*[
-            F.struct(
-                (F.greatest(base, F.col("_first")) + e).alias("entry"),
-                walk(F.greatest(base, F.col("_first")) + e).alias("exit"),
-            )
-            for e in range(max(n - 1, 1))
-        ]).alias("_exits"),
+        F.array(*[F.struct(e.alias("entry"), walk(e).alias("exit")) for e in entries]).alias("_exits"),
     )
 
     def compose(list_col: Column, entry: Column) -> Column:
@@ -329,19 +330,19 @@ def sequence_states(
     upper = exits.groupBy(*keys, F.floor(F.col("_level") / width).alias("_up")).agg(
         parts.alias("_parts")
     )
-    entries = F.transform(
+    ways_in = F.transform(
         F.element_at(F.col("_parts"), 1)["_exits"], lambda x: x["entry"]
     )
     upper = upper.select(
         *keys,
         F.col("_up").alias("_level"),
         F.transform(
-            entries,
+            ways_in,
             lambda e: F.struct(e.alias("entry"), compose(F.col("_parts"), e).alias("exit")),
         ).alias("_exits"),
     )
     top = upper.groupBy(*keys).agg(parts.alias("_parts"))
-    entry = F.element_at(F.element_at(F.col("_parts"), 1)["_exits"], 1)["entry"]
+    entry = F.element_at(F.element_at(F.col("_parts"), 1)["_exits"], -1)["entry"]
     final = top.withColumn("_state", compose(F.col("_parts"), entry))
     return final.select(*keys, F.col("_state.end").alias(name), F.col("_state.at").alias("anchor"))
 
@@ -351,16 +352,19 @@ def truncate_at_end(df: DataFrame, ends: DataFrame, book, page: str, end: str =
     return cut_after(df, ends, book, page, end)
 
 
-def pages_since_restart(df: DataFrame, book, order: Sequence[str], restart: Column) -> DataFrame:
+def pages_since_restart(
+    df: DataFrame, book, order: Sequence[str], restart: Column, chunk: Column
+) -> DataFrame:
     """Rows from each book's last restart on; books never restarted stay whole.
 
     The last restart is a grouped maximum, so no running sum along the book.
+    ``chunk`` cuts a book's rows into bounded pieces, as for ``number_pages``.
     """
     keys = keys_of(book)
     last = (
         df.filter(restart).groupBy(*keys).agg(F.max(F.struct(*order)).alias("_restart"))
     )
-    kept = df.join(last, keys, "left")
+    kept = join_by_chunk(df, last, keys, {_CHUNK: chunk}, "left")
     return kept.filter(
         F.col("_restart").isNull() | (F.struct(*order) >= F.col("_restart"))
     ).drop("_restart")

@@ -155,7 +155,7 @@ def heading_blocks(t):
 @query("heading_table", HEADING_SQL + "SELECT page_id, count(*) AS blocks, count(*) FILTER (heading) AS headings, sum(level) FILTER (heading) AS levels FROM marked GROUP BY page_id")
 def heading_table(t):
     blocks = block_rows(t).withColumn("height", F.col("bounding_box.height"))
-    marked = E.heading_blocks(blocks, "page_id", "height", "block_type", "text")
+    marked = E.heading_blocks(blocks, "page_id", "ord", "height", "block_type", "text")
     return marked.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("blocks"), F.count_if("heading").alias("headings"), F.sum("level").alias("levels")
     )

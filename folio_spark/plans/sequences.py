@@ -168,7 +168,7 @@ FROM events e LEFT JOIN last l ON e.user_id = l.user_id WHERE r IS NULL OR ts >=
 """)
 def since_restart(t):
     events = t.events.select("user_id", "event_id", "ts", "event_type")
-    kept = Q.pages_since_restart(events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup")
+    kept = Q.pages_since_restart(events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", Q.time_chunk("ts"))
     span = (F.max(Q.micros("ts")) - F.min(Q.micros("ts"))) / 1_000_000.0
     return kept.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("pages"),
@@ -218,7 +218,7 @@ SELECT l.user_id, l.page, l.failed FROM ledger l
 WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.user_id = l.user_id AND s.status = 'completed')
 """)
 def ledger_cleanup(t):
-    return L.drop_completed(ledger(t), states(t), "user_id").select("user_id", "page", "failed")
+    return L.drop_completed(ledger(t), states(t), "user_id", "page").select("user_id", "page", "failed")
 
 
 @query("can_resume", STATES_SQL + """

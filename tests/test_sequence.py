@@ -101,7 +101,7 @@ def test_one_book_holds_most_pages(spark):
     hot = spark.range(50_000).select(F.lit(1).alias("book"), F.col("id").alias("page"), (F.col("id") % 1000).alias("v"))
     cold = spark.range(100).select(F.lit(2).alias("book"), F.col("id").alias("page"), F.lit(0).alias("v"))
     df = hot.unionByName(cold)
-    chunks = Q.with_neighbours(df, "page", before=1, width=512).groupBy("book", "_chunk").count()
+    chunks = Q.with_neighbours(df, "book", "page", before=1, width=512).groupBy("book", "_chunk").count()
     assert chunks.agg(F.max("count")).first()[0] <= 513
     assert ends(Q.end_of_sequence(df, "book", "page", "v", n=3, width=512)) == {2: 2}
 
@@ -113,6 +113,13 @@ def test_plan_has_no_window_by_book(spark):
     assert windows and all(w.startswith("book#") and w.split(", ")[1].startswith("_chunk#") for w in windows)
 
 
+def test_input_laid_out_by_book_is_spread_again(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("book"), F.col("id").alias("page"), F.col("id").alias("v"))
+    df = df.repartition("book")
+    plan = Q.previous_page(df, "book", "page", {"p": "v"})._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(book#\d+L, _chunk#\d+L", plan)
+
+
 def test_expected_and_resume(spark):
     states = spark.createDataFrame(
         [("a", 3, 5, "in_progress"), ("b", 5, 5, "completed"), ("c", 0, 2, "in_progress"), ("d", 4, 4, "in_progress")],
