@@ -119,9 +119,10 @@ def spread(
     ry, rx = max(abs(o[0]) for o in offsets), max(abs(o[1]) for o in offsets)
     fields = ["_dy", "_dx", *names]
     out = sized(grid)
-    if border != NEUTRAL:
-        out = out.withColumn("y", F.explode(appearances(F.col("y").cast("int"), F.col("h"), ry, border)))
-        out = out.withColumn("x", F.explode(appearances(F.col("x").cast("int"), F.col("w"), rx, border)))
+    for axis, size, reach in (("y", "h", ry), ("x", "w", rx)):
+        if border != NEUTRAL and reach:
+            places = appearances(F.col(axis).cast("int"), F.col(size), reach, border)
+            out = out.withColumn(axis, F.explode(places))
     out = out.select("gid", "h", "w", "y", "x", *keep, F.explode(_literal(offsets, fields)).alias("_o"))
     y, x = F.col("y") - F.col("_o._dy"), F.col("x") - F.col("_o._dx")
     placed = out.select(

@@ -130,3 +130,17 @@ def state_key(title: Column) -> Column:
 def log_key(title: Column) -> Column:
     """Unlike the state key, unwanted characters are dropped."""
     return F.regexp_replace(strip(F.regexp_replace(title, r"[^\p{L}\p{N} _-]", "")), " ", "_")
+
+
+CLEANERS = {
+    "title": strip,
+    "filename": sanitize_filename,
+    "format": lambda c: F.lower(strip(c)),
+    "engine": lambda c: F.lower(strip(c)),
+    "log_level": lambda c: F.upper(strip(c)),
+}
+
+
+def normalised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Replace columns by their cleaned values; ``columns`` maps a column to its kind."""
+    return df.withColumns({name: CLEANERS[kind](F.col(name)) for name, kind in columns.items()})

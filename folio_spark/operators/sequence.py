@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .skew import join_by_chunk
 
@@ -250,11 +251,17 @@ def end_of_sequence(
         differs = lambda a, b: hamming(a, b) > threshold
         states = sequence_states(df, book, page, content, n=n, differs=differs, name=name, width=width)
         return states.filter(F.col(name).isNotNull()).select(*keys_of(book), name)
-    marked = previous_page(
-        df.select(*keys_of(book), page, content), book, page, {"_previous": content}, width=width
-    )
-    same = F.col("_previous") == F.col(content)
-    return first_run(marked, book, page, same, n - 1, name=name, width=width)
+    keys = keys_of(book)
+    # Long texts are compared by digest, so the shuffle carries 32 bytes per page.
+    wide = isinstance(df.schema[content].dataType, (T.StringType, T.BinaryType))
+    value = F.unhex(F.sha2(F.col(content).cast("binary"), 256)) if wide else F.col(content)
+    by_page = Window.partitionBy(*keys, _CHUNK).orderBy(page)
+    recent = by_page.rowsBetween(-(n - 2), Window.currentRow)
+    rows = with_neighbours(df.select(*keys, page, value.alias("_v")), book, page, before=n - 1, width=width)
+    same = F.coalesce(F.col("_v") == F.lag("_v").over(by_page), F.lit(False)).cast("int")
+    runs = rows.withColumn("_same", same).withColumn("_run", F.sum("_same").over(recent))
+    done = runs.filter(F.col(_OWN) & (F.col("_run") >= n - 1))
+    return done.groupBy(*keys).agg(F.min(page).alias(name))
 
 
 def sequence_states(

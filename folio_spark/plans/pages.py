@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import assemble as A
 from ..operators import quality as V
 from ..operators import select as S
+from ..sources import sinks as K
 from .registry import query
 from .sources import LINES_SQL, lines
 
@@ -56,25 +57,18 @@ def placeholder(t):
 
 
 @query("markdown_doc", """
-WITH t AS (SELECT conv_id, count(*) AS n, string_agg('## Turn ' || turn || chr(10) || chr(10) || text, chr(10)||chr(10) ORDER BY turn) AS body,
-   string_agg('  - Turn ' || turn, chr(10) ORDER BY turn) AS toc FROM conversations GROUP BY conv_id)
-SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || 'Pages: ' || n || chr(10)
-  || 'Title: conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || '## 目次' || chr(10) || chr(10)
-  || toc || chr(10) || chr(10) || body AS text FROM t
+SELECT conv_id, 0 AS section, 0::BIGINT AS part, '# Conversation ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || 'Pages: ' || count(*) || chr(10)
+  || 'Title: conversation ' || conv_id || chr(10) || '---' AS text FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, 1, turn // 1000, '## 目次' || chr(10) || chr(10) || string_agg('  - Turn ' || turn, chr(10) ORDER BY turn) FROM conversations GROUP BY ALL
+UNION ALL SELECT conv_id, 2, turn // 1000, string_agg('## Turn ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) FROM conversations GROUP BY ALL
 """)
 def markdown_doc(t):
-    """Title, front matter, contents and pages of every conversation."""
-    heading = F.concat(F.lit("Turn "), F.col("turn"))
-    pages = t.conversations.withColumn("text", F.concat(F.lit("## "), heading, F.lit("\n\n"), F.col("text")))
-    body = A.assemble_pages(pages, "conv_id", "turn", "text", sep="\n\n")
+    """Title with front matter, contents and pages of every conversation."""
+    heading = F.concat(F.lit("## Turn "), F.col("turn"), F.lit("\n\n"), F.col("text"))
     name = F.concat(F.lit("onversation "), F.col("conv_id"))
-    meta = F.create_map(
-        F.lit("title"), F.concat(F.lit("c"), name), F.lit("pages"), F.col("pages").cast("string")
-    )
-    head = F.concat(F.lit("# C"), name, F.lit("\n\n"), A.front_matter(meta), F.lit("\n"))
-    toc = F.concat(F.lit(X.TOC_TITLE + "\n\n"), X.table_of_contents(F.col("text")), F.lit("\n\n"))
-    whole = F.when(F.col("part") == 0, F.concat(head, toc, F.col("text"))).otherwise(F.col("text"))
-    return body.select("conv_id", whole.alias("text"))
+    meta = F.create_map(F.lit("title"), F.concat(F.lit("c"), name), F.lit("pages"), F.col("pages").cast("string"))
+    pages = t.conversations.withColumn("text", heading)
+    return K.markdown_parts(pages, "conv_id", "turn", "text", title=F.concat(F.lit("C"), name), metadata=meta)
 
 
 @query("nonblank_lines", LINES_SQL + f"""

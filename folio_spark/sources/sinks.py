@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOC_TITLE, table_of_contents
-from ..operators.assemble import front_matter
+from ..operators.assemble import PART_PAGES, assemble_pages, front_matter
 from ..operators.sequence import keys_of
 from ..streaming.tables import exists
 
@@ -76,6 +76,32 @@ def markdown_document(title: Column, text: Column, *, metadata: Column | None =
     return F.concat_ws("\n\n", *parts)
 
 
+def markdown_parts(
+    pages: DataFrame, book: str, page: str, text: str, *,
+    title: Column, metadata: Column | None = None, sep: str = "\n\n", part_pages: int = PART_PAGES,
+) -> DataFrame:
+    """A book's Markdown document as rows ``(book, section, part, text)``.
+
+    Section 0 is the title with the front matter, 1 the contents, 2 the pages. In
+    that order, joined by a blank line (contents parts by a line break), they are
+    the document. Contents and pages of a long book take several parts, so the
+    contents always list all its headings. ``title`` and ``metadata`` may use the
+    book's key and its page count ``pages``.
+    """
+    body = assemble_pages(pages, book, page, text, sep=sep, part_pages=part_pages)
+    entries = pages.select(book, page, table_of_contents(F.col(text)).alias("_toc")).filter("_toc <> ''")
+    toc = assemble_pages(entries, book, page, "_toc", sep="\n", part_pages=part_pages)
+    first = F.min("part").over(Window.partitionBy(book))
+    toc = toc.withColumn("text", F.when(F.col("part") == first, F.concat(F.lit(TOC_TITLE + "\n\n"), "text")).otherwise(F.col("text")))
+    counted = pages.groupBy(book).agg(F.count(F.lit(1)).alias("pages"))
+    lines = [F.concat(F.lit("# "), title)]
+    if metadata is not None:
+        lines.append(F.rtrim(front_matter(metadata), F.lit("\n")))
+    head = counted.withColumns({"part": F.lit(0).cast("bigint"), "text": F.concat_ws("\n\n", *lines)})
+    section = lambda df, n: df.select(book, F.lit(n).alias("section"), "part", "text")
+    return section(head, 0).unionByName(section(toc, 1)).unionByName(section(body, 2))
+
+
 def encoded(text: Column, encoding: str = "UTF-8", *, bom: bool = False, newline: str = "\n") -> Column:
     """Bytes of the text with the wanted line end and byte order mark.
 

@@ -63,6 +63,15 @@ def test_markdown_and_names(spark):
     assert tuple(paths) == ("a/b.md", "a/b.md")
 
 
+def test_markdown_of_a_long_book_lists_all_headings(spark):
+    pages = spark.range(1, 8).select(F.lit("b").alias("book"), F.col("id").alias("page"), F.concat(F.lit("# h"), F.col("id")).alias("text"))
+    rows = sinks.markdown_parts(pages, "book", "page", "text", title=F.col("book"), part_pages=3).collect()
+    parts = sorted((r["section"], r["part"], r["text"]) for r in rows)
+    assert [p[:2] for p in parts] == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    toc = "\n".join(p[2] for p in parts if p[0] == 1)
+    assert toc == "## 目次\n\n" + "\n".join(f"- h{i}" for i in range(1, 8))
+
+
 def test_encoding(spark):
     one = spark.range(1)
     got = one.select(sinks.encoded(F.lit("あ\nb"), "utf-8-sig", newline="\r\n").alias("v")).first()["v"]
@@ -85,3 +94,39 @@ def test_info_metrics_and_replace(spark, tmp_path):
     sinks.replace_books(base, target, "book")
     sinks.replace_books(spark.createDataFrame([("b", 2)], "book string, n int"), target, "book")
     assert sorted((r["book"], r["n"]) for r in spark.read.parquet(target).collect()) == [("a", 1), ("b", 2)]
+
+
+def png(rows, colour):
+    """A small PNG file: 8 bit, grey or RGB, unfiltered lines."""
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        body = kind + data
+        return struct.pack(">I", len(data)) + body + struct.pack(">I", zlib.crc32(body))
+
+    width = len(rows[0]) // (3 if colour else 1)
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 2 if colour else 0, 0, 0, 0)
+    body = zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def test_images_become_grids(spark, tmp_path):
+    from folio_spark.sources import images
+
+    (tmp_path / "grey.png").write_bytes(png([[0, 10, 20], [30, 40, 255]], False))
+    (tmp_path / "rgb.png").write_bytes(png([[255, 0, 0, 0, 255, 0], [0, 0, 255, 9, 9, 9]], True))
+    (tmp_path / "broken.png").write_bytes(b"nothing")
+    rows = images.image_grids(images.scan_images(spark, str(tmp_path))).collect()
+    grey = {(r["y"], r["x"]): r["v"] for r in rows if r["gid"].endswith("grey.png")}
+    rgb = {(r["y"], r["x"]): r["v"] for r in rows if r["gid"].endswith("rgb.png")}
+    assert grey == {(0, 0): 0, (0, 1): 10, (0, 2): 20, (1, 0): 30, (1, 1): 40, (1, 2): 255}
+    assert rgb == {(0, 0): 76, (0, 1): 150, (1, 0): 29, (1, 1): 9}
+
+
+def test_normalised(spark):
+    from folio_spark.operators import quality as V
+
+    df = spark.createDataFrame([("  My Book ", " PNG", "debug ")], "t string, f string, l string")
+    out = V.normalised(df, {"t": "title", "f": "format", "l": "log_level"}).first()
+    assert tuple(out) == ("My Book", "png", "DEBUG")
