@@ -85,29 +85,51 @@ def as_u8(value: Column, u8: bool = True) -> Column:
 
 
 def appearances(i: Column, n: Column, reach: int, border: str) -> Column:
-    """Coordinates in ``[-reach, n - 1 + reach]`` at which cell ``i`` of ``n`` shows up."""
-    inner = F.array(i)
+    """Coordinates in ``[-reach, n - 1 + reach]`` at which cell ``i`` of ``n`` shows up.
+
+    An array, possibly with nulls to be dropped after exploding. It is built without
+    higher-order functions, so the explode stays inside generated code.
+    """
+    alone = F.array(i)
     if border == NEUTRAL or reach == 0:
-        return inner
+        return alone
     last = n - 1
+    everywhere = F.sequence(F.lit(-reach), F.lit(reach))
     if border == REPLICATE:
-        before = F.when(i == 0, F.sequence(F.lit(-reach), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        behind = F.when(i == last, F.sequence(n, last + reach)).otherwise(F.array().cast("array<int>"))
-        return F.when((i > 0) & (i < last), inner).otherwise(F.concat(inner, before, behind))
-    # Mirrored without repeating the edge: period 2(n-1), both directions.
-    period = 2 * last
-    turns = F.sequence(F.lit(-reach), F.lit(reach))
-    mirrored = F.concat(
-        F.transform(turns, lambda k: i + k * period), F.transform(turns, lambda k: k * period - i)
-    )
-    inside = F.filter(F.array_distinct(mirrored), lambda u: (u >= -reach) & (u <= last + reach))
+        return (
+            F.when((i > 0) & (i < last), alone)
+            .when(n == 1, everywhere)
+            .when(i == 0, F.sequence(F.lit(-reach), F.lit(0)))
+            .otherwise(F.sequence(last, last + reach))
+        )
+    # Mirrored without repeating the edge: once when the grid is wider than the
+    # reach, else with period 2(n-1) in both directions.
+    inner = (i > 0) & (i < last)
+    low = F.when((i > 0) & (i <= reach), -i)
+    high = F.when((i < last) & (i >= last - reach), last * 2 - i)
+    places = []
+    for turn in range(-reach, reach + 1):
+        shifted, flipped = i + last * (2 * turn), last * (2 * turn) - i
+        places.append(F.when(shifted.between(-reach, last + reach), shifted))
+        places.append(F.when(inner & flipped.between(-reach, last + reach), flipped))
     return (
-        F.when((i > reach) & (i < last - reach), inner)
-        .when(n == 1, F.sequence(F.lit(-reach), F.lit(reach)))
-        .otherwise(inside)
+        F.when((i > reach) & (i < last - reach), alone)
+        .when(last >= reach, F.array(i, low, high))
+        .when(n == 1, everywhere)
+        .otherwise(F.array(*places))
     )
 
 
+def extended(grid: DataFrame, reach_y: int, reach_x: int, border: str) -> DataFrame:
+    """Every cell at all coordinates where the border rule shows it."""
+    out = grid
+    for axis, size, reach in (("y", "h", reach_y), ("x", "w", reach_x)):
+        if border != NEUTRAL and reach:
+            places = appearances(F.col(axis).cast("int"), F.col(size).cast("int"), reach, border)
+            out = out.withColumn(axis, F.explode(places)).filter(F.col(axis).isNotNull())
+    return out
+
+
 def _literal(rows: Sequence[Sequence], names: Sequence[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
 
@@ -118,11 +140,7 @@ def spread(
     """Send every cell to all targets that see it; ``offsets`` rows start with (dy, dx)."""
     ry, rx = max(abs(o[0]) for o in offsets), max(abs(o[1]) for o in offsets)
     fields = ["_dy", "_dx", *names]
-    out = sized(grid)
-    for axis, size, reach in (("y", "h", ry), ("x", "w", rx)):
-        if border != NEUTRAL and reach:
-            places = appearances(F.col(axis).cast("int"), F.col(size), reach, border)
-            out = out.withColumn(axis, F.explode(places))
+    out = extended(sized(grid), ry, rx, border)
     out = out.select("gid", "h", "w", "y", "x", *keep, F.explode(_literal(offsets, fields)).alias("_o"))
     y, x = F.col("y") - F.col("_o._dy"), F.col("x") - F.col("_o._dx")
     placed = out.select(
@@ -153,14 +171,20 @@ def stencil(grid: DataFrame, kernel, *, border: str = REFLECT, u8: bool = False)
     return sent.groupBy(*CELL).agg(as_u8(F.sum(F.col("v") * F.col("_wt")), u8).alias("v"))
 
 
-def along_axis(grid: DataFrame, axis: str, weights: Sequence[float], *, border: str) -> DataFrame:
+def along_axis(
+    grid: DataFrame, axis: str, weights: Sequence[float], *, border: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Weighted window sum along one axis; ``keep`` columns stay with their cell."""
     reach = len(weights) // 2
     rows = [
         ((k - reach, 0, float(wt)) if axis == "y" else (0, k - reach, float(wt)))
         for k, wt in enumerate(weights)
     ]
-    sent = spread(grid, rows, ["_wt"], border)
-    return sent.groupBy(*CELL).agg(F.sum(F.col("v") * F.col("_wt")).alias("v"))
+    sent = spread(grid, rows, ["_wt"], border, keep=("v", *keep))
+    home = F.col(f"_d{axis}") == 0
+    return sent.groupBy(*CELL).agg(
+        F.sum(F.col("v") * F.col("_wt")).alias("v"), *[F.max(F.when(home, F.col(k))).alias(k) for k in keep]
+    )
 
 
 def gaussian_weights(size: int, sigma: float = 0.0) -> list[float]:
@@ -173,14 +197,21 @@ def gaussian_weights(size: int, sigma: float = 0.0) -> list[float]:
 
 
 def gaussian(
-    grid: DataFrame, size: tuple[int, int] = (5, 5), sigma: float = 0.0, *, border: str = REFLECT, u8: bool = False
+    grid: DataFrame, size: tuple[int, int] = (5, 5), sigma: float = 0.0, *, border: str = REFLECT,
+    u8: bool = False, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Smooth with ``size`` = (width, height)."""
-    rows = along_axis(sized(grid), "y", gaussian_weights(size[1], sigma), border=border)
-    out = along_axis(rows, "x", gaussian_weights(size[0], sigma), border=border)
+    rows = along_axis(sized(grid), "y", gaussian_weights(size[1], sigma), border=border, keep=keep)
+    out = along_axis(rows, "x", gaussian_weights(size[0], sigma), border=border, keep=keep)
     return out.withColumn("v", as_u8(F.col("v"), u8))
 
 
+def beside_smooth(grid: DataFrame, size, sigma: float = 0.0, **options) -> DataFrame:
+    """Own value ``v`` and smoothed value ``_smooth``: both travel together, no join."""
+    both = gaussian(sized(grid).withColumn("_own", F.col("v")), size, sigma, keep=("_own",), **options)
+    return both.select(*CELL, F.col("_own").alias("v"), F.col("v").alias("_smooth"))
+
+
 def square(size: int) -> list[tuple[int, int]]:
     r = size // 2
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
@@ -196,10 +227,9 @@ def tiles(grid: DataFrame, reach: int, border: str, span: int = TILE) -> DataFra
     that cannot be combined on the way (medians, likeness weights) this ships a
     cell about ``(1 + 2 reach / span)**2`` times instead of once per window place.
     """
-    out = sized(grid)
+    out = extended(sized(grid), reach, reach, border)
     for axis, size in (("y", "h"), ("x", "w")):
         u = F.col(axis)
-        out = out.withColumn(axis, F.explode(appearances(u.cast("int"), F.col(size), reach, border)))
         first = F.greatest(F.floor((u - reach) / span), F.lit(0)).cast("int")
         last = F.floor(F.least(u + reach, F.col(size) - 1) / span).cast("int")
         out = out.withColumn(f"_t{axis}", F.explode(F.sequence(first, last)))
@@ -323,18 +353,13 @@ def morphology(grid: DataFrame, operation: str = "close", size: tuple[int, int]
     return out
 
 
-def paired(grid: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """The grid with another one's value beside its own."""
-    return sized(grid).join(other.select("gid", "y", "x", F.col("v").alias(name)), ["gid", "y", "x"])
-
-
 def unsharp_mask(
     grid: DataFrame, size: tuple[int, int] = (5, 5), sigma: float = 1.0, amount: float = 1.5,
     threshold: float = 0.0, *, u8: bool = False,
 ) -> DataFrame:
     """Add ``amount`` of the difference to the smoothed grid where it exceeds the threshold."""
-    both = paired(grid, gaussian(grid, size, sigma, u8=u8), "_blur")
-    v, blur = F.col("v"), F.col("_blur")
+    both = beside_smooth(grid, size, sigma, u8=u8)
+    v, blur = F.col("v"), F.col("_smooth")
     sharp = as_u8(v * (1.0 + amount) - blur * amount, u8)
     if threshold > 0:
         sharp = F.when(F.abs(v - blur) > threshold, sharp).otherwise(v)
@@ -385,9 +410,8 @@ def binarize(grid: DataFrame, method: str = "otsu", threshold: float = 127, bloc
         return join_per_grid(grid, levels).select(*CELL, cut(F.col("v"), F.col("threshold")).alias("v"))
     if method == "adaptive":
         block += 1 - block % 2
-        local = gaussian(grid, (block, block), border=REPLICATE, u8=True)
-        both = paired(grid, local, "_mean")
-        return both.select(*CELL, cut(F.col("v") - F.col("_mean"), F.lit(-float(math.ceil(c)))).alias("v"))
+        both = beside_smooth(grid, (block, block), border=REPLICATE, u8=True)
+        return both.select(*CELL, cut(F.col("v") - F.col("_smooth"), F.lit(-float(math.ceil(c)))).alias("v"))
     return grid.withColumn("v", cut(F.col("v"), F.lit(float(threshold))))
 
 
@@ -423,9 +447,7 @@ def clahe(grid: DataFrame, clip: float = 2.0, tiles: tuple[int, int] = (8, 8)) -
         full(F.col("h"), ny).alias("_fh"), full(F.col("w"), nx).alias("_fw"),
     ).withColumns({"_th": (F.col("_fh") / ny).cast("int"), "_tw": (F.col("_fw") / nx).cast("int")})
 
-    shown = cells.withColumn("y", F.explode(appearances(F.col("y").cast("int"), F.col("h"), ny, REFLECT)))
-    shown = shown.withColumn("x", F.explode(appearances(F.col("x").cast("int"), F.col("w"), nx, REFLECT)))
-    shown = shown.filter("y >= 0 AND x >= 0 AND y < _fh AND x < _fw")
+    shown = extended(cells, ny, nx, REFLECT).filter("y >= 0 AND x >= 0 AND y < _fh AND x < _fw")
     tile = [F.floor(F.col("y") / F.col("_th")).cast("int").alias("ty"), F.floor(F.col("x") / F.col("_tw")).cast("int").alias("tx")]
     counts = shown.groupBy("gid", *tile, (F.col("_th") * F.col("_tw")).alias("area"), "level").agg(
         F.count(F.lit(1)).alias("n")
@@ -498,23 +520,21 @@ def _lanczos(t: Column) -> Column:
 RESAMPLING = {"bilinear": (1.0, _triangle), "bicubic": (2.0, _cubic), "lanczos": (3.0, _lanczos)}
 
 
-def resample_targets(i: Column, n: Column, m: Column, method: str) -> Column:
-    """``array<struct<to, wt>>``: where source cell ``i`` of ``n`` counts among ``m`` targets."""
-    scale = n / m
+def resampled(cells: DataFrame, i: str, n: str, m: Column, method: str) -> DataFrame:
+    """Send source line ``i`` of ``n`` to the lines ``to`` of ``m`` it counts for, with weight ``wt``."""
+    at = F.col(i)
+    scale = F.col(n) / m
     if method == "nearest":
-        first = F.ceil(i / scale - 0.5)
-        behind = F.ceil((i + 1) / scale - 0.5)
-        found = F.when(first < behind, F.sequence(first, behind - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(found, lambda t: F.struct(t.alias("to"), F.lit(1.0).alias("wt")))
-    support, shape = RESAMPLING.get(method, RESAMPLING["lanczos"])
-    wide = F.greatest(scale, F.lit(1.0))
-    first = F.greatest(F.ceil((i + 0.5 - wide * support) / scale - 0.5), F.lit(0))
-    last = F.least(F.floor((i + 0.5 + wide * support) / scale - 0.5), (m - 1).cast("bigint"))
-    weighed = F.transform(
-        F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")),
-        lambda t: F.struct(t.alias("to"), shape((i + 0.5 - (t + 0.5) * scale) / wide).alias("wt")),
-    )
-    return F.filter(weighed, lambda s: s["wt"] != 0)
+        first, last = F.ceil(at / scale - 0.5), F.ceil((at + 1) / scale - 0.5) - 1
+        weight = F.lit(1.0)
+    else:
+        support, shape = RESAMPLING.get(method, RESAMPLING["lanczos"])
+        wide = F.greatest(scale, F.lit(1.0))
+        first = F.greatest(F.ceil((at + 0.5 - wide * support) / scale - 0.5), F.lit(0))
+        last = F.least(F.floor((at + 0.5 + wide * support) / scale - 0.5), (m - 1).cast("bigint"))
+        weight = shape((at + 0.5 - (F.col("to") + 0.5) * scale) / wide)
+    reached = F.when(first <= last, F.sequence(first, last))
+    return cells.withColumn("to", F.explode(reached)).withColumn("wt", weight).filter(F.col("wt") != 0)
 
 
 def resize_to(grid: DataFrame, height: Column, width: Column, method: str = "lanczos", *, u8: bool = False):
@@ -522,8 +542,7 @@ def resize_to(grid: DataFrame, height: Column, width: Column, method: str = "lan
     out = sized(grid).withColumns({"_nh": height.cast("int"), "_nw": width.cast("int")})
     for axis, size, new in (("y", "h", "_nh"), ("x", "w", "_nw")):
         other = "x" if axis == "y" else "y"
-        targets = resample_targets(F.col(axis), F.col(size), F.col(new), method)
-        sent = out.select("gid", "h", "w", "_nh", "_nw", other, "v", F.inline(targets))
+        sent = resampled(out, axis, size, F.col(new), method)
         out = sent.groupBy("gid", "h", "w", "_nh", "_nw", other, F.col("to").cast("int").alias(axis)).agg(
             (F.sum(F.col("v") * F.col("wt")) / F.sum("wt")).alias("v")
         )
@@ -650,7 +669,7 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
         )
         for j in taps for i in taps
     ])
-    wanted = asked.select(*CELL, F.inline(F.filter(tap, lambda s: s["wt"] != 0)))
+    wanted = asked.select(*CELL, F.inline(tap)).filter(F.col("wt") != 0)
     source = grid.select("gid", F.col("y").alias("ty"), F.col("x").alias("tx"), "v")
     turned = wanted.join(source, ["gid", "ty", "tx"]).groupBy(*CELL).agg(
         as_u8(F.sum(F.col("v") * F.col("wt")), u8).alias("v")
@@ -677,9 +696,7 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
         other = "x" if axis == "y" else "y"
         sizes = source_grid.select(F.col(size).alias("_n")).distinct()
         source = sizes.select("_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
-        fine = source.select(
-            "_n", "_i", F.inline(resample_targets(F.col("_i"), F.col("_n"), F.lit(side), "lanczos"))
-        )
+        fine = resampled(source, "_i", "_n", F.lit(side), "lanczos")
         norm = fine.groupBy("_n", "to").agg(F.sum("wt").alias("_sum"))
         wave = F.cos(F.col("k") * (F.col("to") * 2 + 1) * (math.pi / (2 * side)))
         table = (
