@@ -691,10 +691,12 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
     the lowest bit.
     """
     side = hash_size * factor
-    grid = source_grid = sized(grid)
+    grid = sized(grid)
+    sizes_seen = grid.select("h", "w").distinct()
+    weight_rows = sizes_seen.agg(F.sum(F.col("h") + F.col("w"))).first()[0] or 0
     for axis, size in (("y", "h"), ("x", "w")):
         other = "x" if axis == "y" else "y"
-        sizes = source_grid.select(F.col(size).alias("_n")).distinct()
+        sizes = sizes_seen.select(F.col(size).alias("_n")).distinct()
         source = sizes.select("_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
         fine = resampled(source, "_i", "_n", F.lit(side), "lanczos")
         norm = fine.groupBy("_n", "to").agg(F.sum("wt").alias("_sum"))
@@ -708,8 +710,7 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
         folded = table.groupBy(F.col("_n").alias(size), F.col("_i").alias(axis)).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("k", "wt"))), lambda s: s["wt"]).alias("_wave")
         )
-        rows = source_grid.select(size).distinct().agg(F.sum(size)).first()[0] or 0
-        folded = F.broadcast(folded) if rows <= MAX_WEIGHT_ROWS else folded
+        folded = F.broadcast(folded) if weight_rows <= MAX_WEIGHT_ROWS else folded
         sent = grid.join(folded, [size, axis]).select(
             "gid", "h", "w", other, "v", F.posexplode("_wave").alias("_k", "_wt")
         )
@@ -719,17 +720,24 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
     position = F.col("y") * hash_size + F.col("x")
     coefficients = grid.groupBy("gid").agg(
         F.sort_array(F.collect_list(F.struct(position.alias("p"), F.round("v", 6).alias("v")))).alias("_c"),
-        F.percentile(F.round("v", 6), F.lit(0.5)).alias("_m"),
     )
-    words = F.transform(
-        F.sequence(F.lit(0), F.lit((hash_size * hash_size - 1) // 64)),
-        lambda word: F.aggregate(
-            F.slice("_c", word * 64 + 1, F.lit(64)),
-            F.lit(0).cast("bigint"),
-            lambda acc, c: acc.bitwiseOR(
-                F.when(c["v"] > F.col("_m"), F.call_function("shiftleft", F.lit(1).cast("bigint"), c["p"] % 64))
-                .otherwise(F.lit(0).cast("bigint"))
+    ranked = F.sort_array(F.transform("_c", lambda c: c["v"]))
+    half = hash_size * hash_size // 2
+    middle = F.get(ranked, F.lit(half))
+    if hash_size % 2 == 0:
+        middle = (F.get(ranked, F.lit(half - 1)) + middle) / 2
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def packed(m):
+        def bit(c):
+            return F.when(c["v"] > m, F.call_function("shiftleft", one, c["p"] % 64)).otherwise(zero)
+
+        return F.transform(
+            F.sequence(F.lit(0), F.lit((hash_size * hash_size - 1) // 64)),
+            lambda word: F.aggregate(
+                F.slice("_c", word * 64 + 1, F.lit(64)), zero, lambda acc, c: acc.bitwiseOR(bit(c))
             ),
-        ),
-    )
+        )
+
+    words = let(middle, packed)
     return coefficients.select("gid", words.alias("signature"))

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import ledger as L
 from ..operators.sequence import (
+    end_of_sequence,
     failure_alarm,
     hamming,
     keys_of,
@@ -62,24 +63,32 @@ Detector = Callable[[DataFrame, list[str], str], DataFrame]
 
 
 def end_detector(content: str, n: int = 3, threshold: int | None = None) -> Detector:
-    def differs(a: Column, b: Column) -> Column:
-        return a != b if threshold is None else hamming(a, b) > threshold
+    """Ends of repeated pages; with a threshold the open anchor is carried on."""
 
-    def detect(pages: DataFrame, book: list[str], page: str) -> DataFrame:
+    def anchored(pages: DataFrame, book: list[str], page: str) -> DataFrame:
+        differs = lambda a, b: hamming(a, b) > threshold
         return sequence_states(pages, book, page, content, n=n, differs=differs, name="end")
 
-    return detect
+    def exact(pages: DataFrame, book: list[str], page: str) -> DataFrame:
+        ends = end_of_sequence(pages, book, page, content, n=n, name="end")
+        return with_tail(pages, ends, book, page, n - 1)
+
+    return exact if threshold is None else anchored
 
 
 def failure_detector(failed: str, k: int = 5) -> Detector:
     def detect(pages: DataFrame, book: list[str], page: str) -> DataFrame:
-        alarms = failure_alarm(pages, book, page, failed, k, name="end")
-        last = pages.groupBy(*book).agg((F.max(page) - (k - 2)).alias("anchor"))
-        return last.join(alarms, book, "left").select(*book, "end", "anchor")
+        return with_tail(pages, failure_alarm(pages, book, page, failed, k, name="end"), book, page, k - 1)
 
     return detect
 
 
+def with_tail(pages: DataFrame, ends: DataFrame, book: list[str], page: str, tail: int) -> DataFrame:
+    """Ends beside the page from which the last ``tail`` pages are kept."""
+    last = pages.groupBy(*book).agg((F.max(page) - (tail - 1)).alias("anchor"))
+    return last.join(ends, book, "left").select(*book, "end", "anchor")
+
+
 @dataclass
 class SequenceWatch:
     """Emit the first end of every book of a page stream.
