@@ -17,13 +17,17 @@ PART_PAGES = 1000
 SECTION_SEPARATOR = "\n\n---\n\n"
 RULE_SEPARATOR = "\n" + "=" * 80 + "\n\n"
 
-# Whitespace as Python's str.strip sees it, for use inside a character class.
-BLANKS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of every kind."""
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def ordered_join(order: str, text: str, sep: str) -> Column:

@@ -24,7 +24,8 @@ def clean_sql(t):
 
 
 def strip_sql(t):
-    return f"regexp_replace({t}, '^[{A.BLANKS}]+|[{A.BLANKS}]+$', '', 'g')"
+    blanks = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    return f"regexp_replace({t}, '^[{blanks}]+|[{blanks}]+$', '', 'g')"
 
 
 @query("assemble_pages", f"""
