@@ -139,7 +139,7 @@ def is_heading(block_kind: Column, height: Column, average: Column, text: Column
 
 
 def heading_level(height: Column, average: Column) -> Column:
-    ratio = height / average
+    ratio = F.try_divide(height, average)
     level = F.lit(3)
     for number in sorted(LEVEL_RATIOS, reverse=True):
         level = F.when(ratio >= LEVEL_RATIOS[number], F.lit(number)).otherwise(level)

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequence import keys_of, page_chunk
+from .skew import join_by_chunk
 
 PART_PAGES = 1000
+PARTS_TOGETHER = 64
 SECTION_SEPARATOR = "\n\n---\n\n"
 RULE_SEPARATOR = "\n" + "=" * 80 + "\n\n"
 
@@ -118,4 +120,5 @@ def with_front_matter(
     matter = front_matter(metadata)
     pieces = [matter, F.lit("\n"), F.col(text)] if top else [F.col(text), F.lit("\n"), matter]
     marked = F.when(F.col("part") == F.col("_edge"), F.concat(*pieces)).otherwise(F.col(text))
-    return documents.join(edges, keys).withColumn(text, marked).drop("_edge")
+    joined = join_by_chunk(documents, edges, keys, {"_chunk": page_chunk("part", PARTS_TOGETHER)})
+    return joined.withColumn(text, marked).drop("_edge")

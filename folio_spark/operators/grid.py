@@ -553,9 +553,8 @@ def resize_to(grid: DataFrame, height: Column, width: Column, method: str = "lan
 
 def resize(grid: DataFrame, factor: float = 2.0, method: str = "lanczos", *, u8: bool = False) -> DataFrame:
     """Scale by a factor, target sizes truncated; an unknown method means Lanczos."""
-    return resize_to(
-        grid, F.floor(F.col("h") * factor), F.floor(F.col("w") * factor), method.lower(), u8=u8
-    )
+    side = lambda n: F.greatest(F.floor(F.col(n) * factor), F.lit(1))
+    return resize_to(grid, side("h"), side("w"), method.lower(), u8=u8)
 
 
 def gradients(grid: DataFrame) -> DataFrame:

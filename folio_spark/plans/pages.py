@@ -59,8 +59,8 @@ def placeholder(t):
 
 @query("markdown_doc", """
 SELECT conv_id, 0 AS section, 0::BIGINT AS part, '# Conversation ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || 'Pages: ' || count(*) || chr(10)
-  || 'Title: conversation ' || conv_id || chr(10) || '---' AS text FROM conversations GROUP BY conv_id
-UNION ALL SELECT conv_id, 1, turn // 1000, '## 目次' || chr(10) || chr(10) || string_agg('  - Turn ' || turn, chr(10) ORDER BY turn) FROM conversations GROUP BY ALL
+  || 'Title: conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || '## 目次' AS text FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, 1, turn // 1000, string_agg('  - Turn ' || turn, chr(10) ORDER BY turn) FROM conversations GROUP BY ALL
 UNION ALL SELECT conv_id, 2, turn // 1000, string_agg('## Turn ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) FROM conversations GROUP BY ALL
 """)
 def markdown_doc(t):

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from ..functions import records as R
 from ..operators import progress as P
 from ..operators.assemble import assemble_pages
+from ..operators.sequence import page_chunk
+from ..operators.skew import join_by_chunk
 from .registry import query
 from .sequences import severity_of
 
@@ -127,4 +129,5 @@ def md_report(t):
     head = R.summary_section(*[F.col(c) for c in ("total_issues", "high_severity", "medium_severity", "low_severity")])
     report = F.concat(head, F.lit("\n\n### 🔍 Findings\n\n"), F.col("text"))
     whole = F.when(F.col("part") == 0, report).otherwise(F.col("text"))
-    return body.join(counts, "o_custkey").select("o_custkey", whole.alias("report"))
+    both = join_by_chunk(body, counts, ["o_custkey"], {"_chunk": page_chunk("part", 64)})
+    return both.select("o_custkey", whole.alias("report"))

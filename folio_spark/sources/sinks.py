@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOC_TITLE, table_of_contents
 from ..operators.assemble import PART_PAGES, assemble_pages, front_matter
-from ..operators.sequence import keys_of
+from ..operators.sequence import keys_of, page_chunk
+from ..operators.skew import join_by_chunk
 from ..streaming.tables import exists
 
 MODES = {"create": "errorifexists", "append": "append", "overwrite": "overwrite"}
@@ -41,7 +42,7 @@ def write_pages(
     firsts = pages.groupBy(book).agg(F.min(page).alias("_first"))
     lead = F.lit("") if metadata is None else F.concat(front_matter(metadata), F.lit("\n"))
     opened = F.when(F.col(page) == F.col("_first"), lead).otherwise(F.lit(separator))
-    rows = pages.join(firsts, book).select(
+    rows = join_by_chunk(pages, firsts, [book], {"_chunk": page_chunk(page)}).select(
         book,
         F.concat(F.lit("span-"), F.lpad(F.floor(F.col(page) / page_span).cast("string"), 10, "0")).alias("span"),
         page,
@@ -82,21 +83,21 @@ def markdown_parts(
 ) -> DataFrame:
     """A book's Markdown document as rows ``(book, section, part, text)``.
 
-    Section 0 is the title with the front matter, 1 the contents, 2 the pages. In
-    that order, joined by a blank line (contents parts by a line break), they are
-    the document. Contents and pages of a long book take several parts, so the
+    Section 0 is the title with the front matter and the heading of the contents, 1
+    the contents, 2 the pages. In that order, joined by a blank line (contents parts
+    by a line break), they are the document. Contents and pages of a long book take several parts, so the
     contents always list all its headings. ``title`` and ``metadata`` may use the
     book's key and its page count ``pages``.
     """
     body = assemble_pages(pages, book, page, text, sep=sep, part_pages=part_pages)
     entries = pages.select(book, page, table_of_contents(F.col(text)).alias("_toc")).filter("_toc <> ''")
     toc = assemble_pages(entries, book, page, "_toc", sep="\n", part_pages=part_pages)
-    first = F.min("part").over(Window.partitionBy(book))
-    toc = toc.withColumn("text", F.when(F.col("part") == first, F.concat(F.lit(TOC_TITLE + "\n\n"), "text")).otherwise(F.col("text")))
-    counted = pages.groupBy(book).agg(F.count(F.lit(1)).alias("pages"))
+    listed = F.max(table_of_contents(F.col(text)) != "").alias("_listed")
+    counted = pages.groupBy(book).agg(F.count(F.lit(1)).alias("pages"), listed)
     lines = [F.concat(F.lit("# "), title)]
     if metadata is not None:
         lines.append(F.rtrim(front_matter(metadata), F.lit("\n")))
+    lines.append(F.when(F.col("_listed"), F.lit(TOC_TITLE)))
     head = counted.withColumns({"part": F.lit(0).cast("bigint"), "text": F.concat_ws("\n\n", *lines)})
     section = lambda df, n: df.select(book, F.lit(n).alias("section"), "part", "text")
     return section(head, 0).unionByName(section(toc, 1)).unionByName(section(body, 2))

@@ -136,11 +136,10 @@ class SequenceWatch:
         ends = states.filter(F.col("end").isNotNull()).select(*keys, F.col("end").cast("bigint").alias("end"))
         ends.write.mode("overwrite").parquet(batch_path(f"{self.root}/found", batch_id))
 
-        still = states.filter(F.col("end").isNull()).select(*keys, F.col("anchor").cast("bigint").alias("anchor"))
         rest = (
-            rows.join(ends, keys, "left_anti")
-            .join(still, keys, "left")
-            .withColumn("_base", F.greatest("_base", F.coalesce("anchor", F.col("_base"))))
+            rows.join(states, keys, "left")
+            .filter(F.col("end").isNull())
+            .withColumn("_base", F.greatest("_base", F.coalesce(F.col("anchor").cast("bigint"), F.col("_base"))))
             .filter(F.col(page) >= F.col("_base"))
             .select(*[f.name for f in carried_schema.fields])
         )
