@@ -151,10 +151,10 @@ def test_heading_levels(spark):
 
 
 def test_records(spark):
-    j = '{"kindle":{"window_title":"Kindle"},"ocr":{"yomitoku":{"confidence_threshold":0.7}}}'
+    j = '{"reader":{"window_title":"Reader"},"ocr":{"yomitoku":{"confidence_threshold":0.7}}}'
     assert value(spark, R.json_get(F.lit(j), "ocr.yomitoku.confidence_threshold")) == "0.7"
     assert value(spark, R.json_get(F.lit(j), "ocr.none", "d")) == "d"
-    assert value(spark, R.missing_paths(F.lit(j), ["kindle", "logging.level"])) == ["logging.level"]
+    assert value(spark, R.missing_paths(F.lit(j), ["reader", "logging.level"])) == ["logging.level"]
     with pytest.raises(Exception, match="missing section"):
         value(spark, R.json_section(F.lit(j), "output"))
     fenced = '```json\n{"summary": {"total_issues": 2}, "issues": [{"title": "T", "severity": "high"}], "overall_comment": "ok"}\n```'
