@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folio_spark.llm import decontam, packing, tokenfile, urls, warc
+from folio_spark.llm import decontam, jaccard, packing, tokenfile, urls, warc
 from folio_spark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,32 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").alias("seq"),
     )
     return urls.judge(captures, entries).select("page_id", "n_block", "n_allow", "rule", "blocked")
+
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {UPPER_LOWER}),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS s
+  FROM d, unnest(generate_series(1, greatest(1, len(w) - 4))) t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION SELECT reached.doc_id, y FROM reached JOIN ways ON other = x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+
+@query("op8_jaccard_join", JACCARD_SQL)
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_components(table(spark, folder, "documents"))
