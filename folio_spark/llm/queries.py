@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folio_spark.llm import decontam, jaccard, packing, tokenfile, topk, urls, warc
+from folio_spark.llm import decontam, jaccard, langid, packing, tokenfile, topk, toxicity, urls, warc
 from folio_spark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,27 @@ FROM s QUALIFY rank <= 20
 @query("op6_top_k", TOP_K_SQL)
 def top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def fold(doc_id: Column, parts: int) -> Column:
+    """The remainder of the CRC-32 of an id written out; null ids are in fold 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.learn(docs, ~held_out)
+    return langid.label(docs.select("doc_id", "text"), model, spans=False).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op4_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    classifier, _ = toxicity.learn(docs, table(spark, folder, "labels"), lambda doc_id: fold(doc_id, 5) != 0)
+    return toxicity.score(docs, classifier).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
+    )
