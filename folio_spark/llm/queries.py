@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folio_spark.llm import decontam, jaccard, langid, packing, tokenfile, topk, toxicity, urls, warc
+from folio_spark.llm import decontam, jaccard, langid, packing, pii, tokenfile, topk, toxicity, urls, warc
 from folio_spark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,20 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, classifier).select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
     )
+
+
+@query("op1_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    spans = pii.annotate(docs, pii.learn(docs))
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [count(number).alias(f"n_{kind}") for number, kind in enumerate(pii.KINDS)]
+    return spans.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.shown(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.shown(F.col("pii_spans")).alias("spans"),
+    )
