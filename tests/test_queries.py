@@ -4,9 +4,9 @@ import pytest
 from harness import compare
 
 import __spark_entry__ as entry
+from folio_spark.plans.registry import ORACLES as SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 SLOW = {"grid_prepare"}
 
 
