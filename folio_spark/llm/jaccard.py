@@ -39,7 +39,7 @@ from folio_spark.llm.graph import components
 from folio_spark.llm.shingles import U64, mix, shingles
 
 #: Bytes of text whose shingles are packed together, and shingles that one hash range should hold.
-SEGMENT = 16 << 20
+SEGMENT = 8 << 20
 RANGE = 1_500_000
 #: Shared shingles that one task joins at a time.
 CLUSTER = 2_000_000
