@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
@@ -65,6 +66,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_lengths(column: pa.Array) -> list[int]:
+    return [x or 0 for x in pc.binary_length(column).to_pylist()]
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of at most ``limit`` together; an item above it stands alone."""
     begin = total = 0

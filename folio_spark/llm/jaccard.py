@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio_spark.llm.common import as_bytes, salted_join, slices, written
+from folio_spark.llm.common import as_bytes, byte_lengths, salted_join, slices, written
 from folio_spark.llm.graph import components
 from folio_spark.llm.shingles import U64, mix, shingles
 
@@ -453,9 +453,9 @@ def near_components(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            ids, own = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for a, b in slices([len(t) for t in own], SEGMENT):
-                yield packed_sets(ids[a:b], own[a:b], width, bits, met)
+            for a, b in slices(byte_lengths(batch.column(1)), SEGMENT):
+                part = batch.slice(a, b - a)
+                yield packed_sets(part.column(0).to_pylist(), as_bytes(part.column(1)), width, bits, met)
 
     split = written(
         texts.mapInArrow(pack, PACKED).groupBy("slot").applyInArrow(lambda t: shared_shingles(t, bits), SPLIT), "shingles"
