@@ -119,6 +119,9 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 40, large: floa
         room = 0
         for x in big:
             count = histogram[x]
+            # A length that fills a group alone doesn't share one, and so isn't rounded.
+            if count >= share:
+                room = 0
             while count:
                 if not room:
                     # A group that would have the size of the one before it goes on with that one.
@@ -128,6 +131,8 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 40, large: floa
                 take = min(count, room)
                 waiting[-1].append([x, take])
                 count, room = count - take, room - take
+            if histogram[x] >= share:
+                room = 0
         sizes = np.array([g[0][0] for g in waiting])
         demand = np.array([sum(c for _, c in g) for g in waiting])
         for column, copies in configurations(sizes, demand, capacity):

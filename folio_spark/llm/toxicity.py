@@ -122,9 +122,9 @@ class LabelModel:
         """Each voter's parent in the tree of largest mutual information given the label."""
         k = self.votes.shape[1]
         share = np.zeros((k, k))
-        total = weights.sum()
+        total = max(weights.sum(), 1e-6)
         for y in (0, 1):
-            w = weights[:, y]
+            w = weights[:, y] + 1e-9
             for a in (0, 1):
                 for b in (0, 1):
                     left, right = self.votes == a, self.votes == b
