@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folio_spark.llm.common import as_bytes, byte_lengths, salted_join, slices, written
 from folio_spark.llm.graph import components
@@ -42,7 +42,7 @@ from folio_spark.llm.shingles import U64, mix, shingles
 SEGMENT = 8 << 20
 RANGE = 1_500_000
 #: Shared shingles that one task joins at a time.
-CLUSTER = 2_000_000
+CLUSTER = 1_000_000
 LEAF, FAN = 16, 4
 
 PACKED = (
@@ -133,7 +133,7 @@ def shared_shingles(group: pa.Table, bits: int) -> pa.Table:
     """Documents of a hash range's rows, and the shingles of each set that other sets hold too."""
     empty = [np.zeros(0, "i8")]
     ids, doc_sets, doc_sizes = [], [], []
-    hashes, owners, sets, sizes, base = [np.zeros(0, U64)], list(empty), list(empty), list(empty), 0
+    hashes, owners, sets, sizes, base = [np.zeros(0, U64)], [np.zeros(0, "i4")], list(empty), list(empty), 0
     columns = [group.column(n).to_pylist() for n in group.schema.names]
     for slot, own_ids, own_sets, own_sizes, fps, ns, packed, places in zip(*columns):
         if own_ids is not None:
@@ -146,7 +146,7 @@ def shared_shingles(group: pa.Table, bits: int) -> pa.Table:
         wide = "<u2" if len(known) < 1 << 16 else "<u4"
         place = np.frombuffer(places, wide)
         hashes.append(unpacked_hashes(packed, len(place), slot << (64 - bits) if bits else 0))
-        owners.append(place.astype("i8") + base)
+        owners.append(place.astype("i4") + np.int32(base))
         sets.append(known)
         sizes.append(np.frombuffer(ns, "<i8"))
         base += len(known)
@@ -189,10 +189,9 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def tokens_of(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.frombuffer(b"".join(p["hashes"] for p in parts), U64)
-    holders = np.frombuffer(b"".join(p["holders"] for p in parts), "<u4")
-    return hashes, holders
+def numbers(column: pa.Array | pa.ChunkedArray, row: int, kind) -> np.ndarray:
+    """The numbers in one binary value, without a copy."""
+    return np.frombuffer(column[row].as_buffer(), kind)
 
 
 def prefixes(percent: int):
@@ -201,8 +200,8 @@ def prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, sets = [np.zeros(0, U64)], [np.zeros(0, "i8")]
-            for fp, n, parts in zip(*(column.to_pylist() for column in batch.columns)):
-                hashes, holders = tokens_of(parts)
+            for row, (fp, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                hashes, holders = numbers(batch.column(2), row, U64), numbers(batch.column(3), row, "<u4")
                 # The set's own shingles, held by no other, take the first places.
                 count = n - needed(n, percent) + 1 - (n - len(hashes))
                 order = np.lexsort((hashes, holders))[:count]
@@ -379,9 +378,10 @@ def join_unit(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         clusters: dict[int, list[tuple]] = {}
-        names = ["label", "side", "fp", "n", "parts"]
-        for label, side, fp, n, parts in zip(*(group.column(c).to_pylist() for c in names)):
-            clusters.setdefault(label, []).append((side, fp, n, np.sort(tokens_of(parts)[0])))
+        names = ["label", "side", "fp", "n"]
+        for row, (label, side, fp, n) in enumerate(zip(*(group.column(c).to_pylist() for c in names))):
+            tokens = np.sort(numbers(group.column("hashes"), row, U64))
+            clusters.setdefault(label, []).append((side, fp, n, tokens))
         edges = []
         for rows in clusters.values():
             sides, fps, sizes, tokens = zip(*rows)
@@ -435,6 +435,11 @@ def work_units(sets: DataFrame, cap: int, percent: int) -> tuple[DataFrame, bool
     return units.union(cut), True
 
 
+def put_together(name: str) -> Column:
+    """One binary value of the ranges' values; a set has at most one for each hash range."""
+    return F.aggregate(F.col("parts")[name], F.lit(b""), lambda a, b: F.concat(a, b)).alias(name)
+
+
 def near_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -471,9 +476,10 @@ def near_components(
             F.collect_list(F.struct("hashes", "holders")).alias("parts"),
         )
         .where(100 * F.col("held") >= percent * F.col("n"))
+        .select("fp", "n", "held", put_together("hashes"), put_together("holders"))
     )
     sets = written(sets, "sets")
-    rare = written(sets.select("fp", "n", "parts").mapInArrow(prefixes(percent), "token long, u long, v long"), "rare")
+    rare = written(sets.select("fp", "n", "hashes", "holders").mapInArrow(prefixes(percent), "token long, u long, v long"), "rare")
     met = (
         rare.where("token is not null")
         .select("token", "u")
@@ -488,7 +494,7 @@ def near_components(
     )
     units, cut = work_units(labelled, cluster, percent)
     links = written(
-        sets.select("fp", "n", "parts").join(units, "fp").groupBy("unit").applyInArrow(join_unit(percent), "u long, v long"),
+        sets.select("fp", "n", "hashes").join(units, "fp").groupBy("unit").applyInArrow(join_unit(percent), "u long, v long"),
         "links",
     )
     # The links of one unit lead from each set to its root; roots of several units are joined once more.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from folio_spark.llm.common import add_columns, column_of, slices
+from folio_spark.llm.common import add_columns, byte_lengths, column_of, slices
 
 # First code points of ranges and the script that begins there (0: none of these).
 SCRIPTS = (
@@ -46,7 +46,7 @@ BUCKETS = 1 << 16
 #: Share of a language's letters from which a script counts as its own.
 OWN_SCRIPT = 0.01
 #: Letters scored together, and words whose scores are held for one run of Viterbi.
-LETTERS, WORDS = 1 << 20, 1 << 21
+LETTERS, WORDS = 1 << 19, 1 << 19
 
 SPAN = StructType([StructField("begin", LongType()), StructField("end", LongType()), StructField("lang", StringType())])
 
@@ -239,7 +239,13 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
     fields += [StructField("spans", ArrayType(SPAN))] * spans
 
     def fill(batch: pa.RecordBatch) -> list[pa.Array]:
-        return predict(column_of(batch, text_col).to_pylist(), shared.value, penalty, spans)
+        texts = column_of(batch, text_col)
+        # About six letters make a word: so many texts are judged together.
+        parts = [
+            predict(texts.slice(a, b - a).to_pylist(), shared.value, penalty, spans)
+            for a, b in slices(byte_lengths(texts), 6 * WORDS)
+        ]
+        return [pa.concat_arrays(columns) for columns in zip(*parts)]
 
     return add_columns(docs, fields, fill)
 
@@ -248,8 +254,7 @@ def predict(texts: list[str | None], model: Model, penalty: float, spans: bool)
     texts = [t or "" for t in texts]
     names = model.languages
     langs, scores, found = [], [], []
-    # About six letters make a word: so many letters are labelled together.
-    for a, b in slices([len(t) for t in texts], 6 * WORDS if len(names) < 8 else LETTERS):
+    for a, b in slices([len(t) for t in texts], 6 * WORDS):
         parts, docs, begins, ends = [], [], [], []
         for c, d in slices([len(t) for t in texts[a:b]], LETTERS):
             words = words_of(texts[a + c : a + d])
