@@ -52,6 +52,8 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in places] + made, names + [f.name for f in fields]
                 )
+        # The worker lives on for other tasks: it gives back what it has no use for.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, StructType(kept + fields))
 

@@ -13,7 +13,7 @@ PLAIN = b"\t\n\r" + bytes(range(32, 127)) + bytes(range(0x80, 0xC0)) + b"\xc3\xc
 #: Every ASCII mark shown as one letter, so that two marks side by side are found by a search.
 MARKS = bytes.maketrans(PUNCTUATION, b"!" * len(PUNCTUATION))
 #: Distinct words a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 900_000
+REMEMBERED = 250_000
 WORKERS: dict[str, Encoder] = {}
 
 
