@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library of Linux has it
+        trim(0)
+
+
 def add_columns(
     df: DataFrame, fields: list[StructField], fill: Callable[[pa.RecordBatch], list[pa.Array]]
 ) -> DataFrame:
@@ -52,8 +61,7 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in places] + made, names + [f.name for f in fields]
                 )
-        # The worker lives on for other tasks: it gives back what it has no use for.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, StructType(kept + fields))
 

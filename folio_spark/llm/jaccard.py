@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folio_spark.llm.common import as_bytes, byte_lengths, salted_join, slices, written
+from folio_spark.llm.common import as_bytes, byte_lengths, give_back, salted_join, slices, written
 from folio_spark.llm.graph import components
 from folio_spark.llm.shingles import U64, mix, shingles
 
@@ -172,6 +172,7 @@ def shared_shingles(group: pa.Table, bits: int) -> pa.Table:
     order = np.argsort(owners, kind="stable")
     hashes, owners, holders = hashes[order], owners[order], holders[order]
     own, counts = np.unique(owners, return_counts=True)
+    give_back()
     none = len(ids)
     return pa.table(
         {
@@ -461,6 +462,7 @@ def near_components(
             for a, b in slices(byte_lengths(batch.column(1)), SEGMENT):
                 part = batch.slice(a, b - a)
                 yield packed_sets(part.column(0).to_pylist(), as_bytes(part.column(1)), width, bits, met)
+        give_back()
 
     split = written(
         texts.mapInArrow(pack, PACKED).groupBy("slot").applyInArrow(lambda t: shared_shingles(t, bits), SPLIT), "shingles"
