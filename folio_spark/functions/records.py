@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.assemble import strip
 from .binding import let
 
 # The review record, its marks, and the length of a fallback comment.
@@ -65,8 +66,8 @@ def typed_record(record: Column, schema: T.StructType, defaults: dict) -> Column
 
 
 def strip_code_fence(text: Column) -> Column:
-    out = F.regexp_replace(F.trim(text), r"^```(json)?", "")
-    return F.trim(F.regexp_replace(out, r"```$", ""))
+    out = F.regexp_replace(strip(text), r"^```(json)?", "")
+    return strip(F.regexp_replace(out, r"```$", ""))
 
 
 def embedded_json(text: Column) -> Column:
@@ -80,13 +81,13 @@ def embedded_json(text: Column) -> Column:
     return let(strip_code_fence(text), find)
 
 
-def review_record(text: Column) -> Column:
-    """Parsed review; text without a usable record becomes the comment of an empty one."""
+def review_record(text: Column, comment: int = FALLBACK_COMMENT) -> Column:
+    """Parsed review; of text without a usable record the first ``comment`` characters become an empty one's comment."""
     zero = F.lit(0).cast("bigint")
     fallback = F.struct(
         F.struct(*[zero.alias(n) for n in ("total_issues", "high_severity", "medium_severity", "low_severity")]).alias("summary"),
         F.array().cast(f"array<{ISSUE}>").alias("issues"),
-        F.substring(strip_code_fence(text), 1, FALLBACK_COMMENT).alias("overall_comment"),
+        F.substring(strip_code_fence(text), 1, comment).alias("overall_comment"),
     )
 
     def parse(record):
@@ -104,7 +105,7 @@ def marked(value: Column, marks: dict[str, str], default: str) -> Column:
 
 
 def issue_section(number, file, line, severity, category, title, description, suggestion) -> Column:
-    """Markdown section of one issue; absent line and suggestion leave no paragraph."""
+    """Markdown section of one issue; absent or empty line and suggestion leave no paragraph."""
     named = lambda label, value: F.concat(F.lit(f"**{label}**: "), value)
     head = F.concat(
         F.lit("#### "), number.cast("string"), F.lit(". "),
@@ -115,11 +116,11 @@ def issue_section(number, file, line, severity, category, title, description, su
         "\n\n",
         head,
         named("File", F.concat(F.lit("`"), file, F.lit("`"))),
-        named("Line", line),
+        named("Line", F.nullif(line, F.lit(""))),
         named("Severity", F.initcap(severity)),
         named("Category", category),
         named("Description", description),
-        named("Suggestion", suggestion),
+        named("Suggestion", F.nullif(suggestion, F.lit(""))),
         F.lit("---"),
     )
 

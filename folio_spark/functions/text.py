@@ -98,9 +98,9 @@ def shifted_back(lines: Column) -> Column:
 
 def looks_like_heading(line: Column, following: Column) -> Column:
     """Chapter line, or a short line without sentence end before a blank one or the end."""
-    blank_next = F.coalesce(F.trim(following) == "", F.lit(True))
+    blank_next = F.coalesce(strip(following) == "", F.lit(True))
     short = (
-        (F.trim(line) != "")
+        (strip(line) != "")
         & (F.length(line) <= SHORT_LINE)
         & ~line.rlike(SENTENCE_END)
         & ~line.startswith("#")

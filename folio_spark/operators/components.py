@@ -9,7 +9,6 @@ from ..session import settled
 from .grid import CELL, binarize, join_per_grid, morphology, sized, thin_edges
 
 SPAN = 4096
-MAX_ROUNDS = 60
 
 # Fixed values of margin trimming.
 TRIM_MARGIN, TRIM_SLACK, TRIM_KERNEL, TRIM_PAD, TRIM_FULL = 240, 50, (10, 10), 10, 0.95
@@ -51,7 +50,7 @@ def run_links(runs: DataFrame, span: int = SPAN) -> DataFrame:
     return pairs.unionByName(pairs.select("gid", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(nodes: DataFrame, links: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest reachable node id per node: ``(gid, id, label)``.
 
     Labels are hooked to the grandparents of neighbours and shortened by jumping,
@@ -60,7 +59,7 @@ def components(nodes: DataFrame, links: DataFrame, *, max_rounds: int = MAX_ROUN
     """
     links = settled(links)
     labels = nodes.select("gid", "id", F.col("id").alias("f"))
-    for _ in range(max_rounds):
+    while True:
         parents = labels.select("gid", F.col("id").alias("f"), F.col("f").alias("g"))
         grand = labels.join(parents, ["gid", "f"]).select("gid", "id", "f", "g")
         nearest = (
@@ -82,7 +81,6 @@ def components(nodes: DataFrame, links: DataFrame, *, max_rounds: int = MAX_ROUN
         labels = new.select("gid", "id", "f")
         if not changed:
             return labels.select("gid", "id", F.col("f").alias("label"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def regions(cells: DataFrame, *, span: int = SPAN) -> DataFrame:

@@ -278,6 +278,21 @@ def heading_blocks(blocks: DataFrame, page, order: str, height: str, kind: str,
     )
 
 
+def answered(predict: Callable[[pd.Series], pd.DataFrame], payloads: pd.Series) -> pd.DataFrame:
+    """``text, confidence, error`` of each payload; a call that raises is repeated on its halves."""
+    try:
+        out = predict(payloads)
+        if len(out) != len(payloads):
+            raise ValueError(f"{len(out)} answers to {len(payloads)} payloads")
+        answers = pd.DataFrame({"text": out["text"].fillna("").to_numpy(), "confidence": out["confidence"].to_numpy()})
+        return answers.assign(error=pd.Series([None] * len(answers), dtype=object))
+    except Exception as e:  # failure is data
+        if len(payloads) < 2:
+            return pd.DataFrame({"text": "", "confidence": 0.0, "error": [str(e)] * len(payloads)})
+    middle = len(payloads) // 2
+    return pd.concat([answered(predict, part) for part in (payloads[:middle], payloads[middle:])], ignore_index=True)
+
+
 def model_extractor(
     df: DataFrame,
     payload: str,
@@ -286,7 +301,8 @@ def model_extractor(
 ) -> DataFrame:
     """Run a user's batch model: ``predict(payloads)`` returns ``text`` and ``confidence``.
 
-    A batch that raises becomes failed rows carrying the message.
+    A batch that raises is tried again in halves, so only the payloads that fail
+    by themselves become failed rows carrying the message.
     """
     schema = T.StructType(
         [*df.schema.fields, *[f for f in RESULT.fields if f.name != "blocks"]]
@@ -295,18 +311,13 @@ def model_extractor(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             start = time.perf_counter()
-            try:
-                out = predict(batch[payload])
-                text = out["text"].fillna("").to_numpy()
-                confidence, error = out["confidence"].to_numpy(), None
-            except Exception as e:  # failure is data
-                text, confidence, error = "", 0.0, str(e)
+            out = answered(predict, batch[payload])
             spent = (time.perf_counter() - start) / max(len(batch), 1)
             batch = batch.assign(
-                engine=engine, text=text, confidence=confidence, processing_time=spent
+                engine=engine, text=out["text"].to_numpy(), confidence=out["confidence"].to_numpy(), processing_time=spent
             )
-            batch["success"] = (batch["text"].str.strip() != "") & (error is None)
-            batch["error_message"] = error
+            batch["success"] = (batch["text"].str.strip() != "") & out["error"].isna().to_numpy()
+            batch["error_message"] = out["error"].to_numpy()
             yield batch
 
     return df.mapInPandas(run, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .assemble import strip
 from .sequence import CHUNK, keys_of, page_chunk
 from .skew import join_by_chunk
 
@@ -147,7 +148,7 @@ def dedupe_lines(lines: DataFrame, book, line: str, position: str) -> DataFrame:
     A grouped minimum: copies collapse before the shuffle, however many there are.
     """
     keys = keys_of(book)
-    blank = F.trim(F.col(line)) == ""
+    blank = strip(F.col(line)) == ""
     apart = F.when(blank, F.col(position))
     return (
         lines.groupBy(*keys, F.col(line), apart.alias("_apart"))

@@ -32,26 +32,31 @@ class Rule:
         return ~F.coalesce(self.holds, F.lit(False))
 
 
+def whole_number(value: Column) -> Column:
+    """The value as a bigint if it is a whole number, else null; nothing is cut off."""
+    number = value.try_cast("bigint")
+    return F.when(value.try_cast("double") == number, number)
+
+
 def title_rule(title: Column) -> Rule:
     trimmed = strip(title)
     return Rule("title", (trimmed != "") & (F.length(trimmed) <= MAX_TITLE), f"1 to {MAX_TITLE} characters")
 
 
 def page_number_rule(page: Column, low: int = 1, high: Column | int | None = None) -> Rule:
-    number = page.try_cast("bigint")
+    number = whole_number(page)
     holds = number >= low
     if high is not None:
         holds = holds & (number <= high)
     return Rule("page_number", holds, f"an integer from {low}")
 
 
-def page_range_rule(start: Column, end: Column) -> Rule:
-    first, last = start.try_cast("bigint"), end.try_cast("bigint")
-    return Rule(
-        "page_range",
-        (first >= 1) & (end.isNull() | (last >= F.greatest(first, F.lit(1)))),
-        "start from 1 and end not before start",
-    )
+def page_range_rule(start: Column, end: Column, high: Column | int | None = None) -> Rule:
+    first, last = whole_number(start), whole_number(end)
+    holds = (first >= 1) & (end.isNull() | (last >= F.greatest(first, F.lit(1))))
+    if high is not None:
+        holds = holds & (first <= high) & (end.isNull() | (last <= high))
+    return Rule("page_range", holds, "start from 1 and end not before start")
 
 
 def confidence_rule(value: Column) -> Rule:
@@ -76,7 +81,7 @@ def log_level_rule(value: Column) -> Rule:
 
 
 def positive_rule(value: Column) -> Rule:
-    return Rule("positive", value.try_cast("bigint") > 0, "an integer above 0")
+    return Rule("positive", whole_number(value) > 0, "an integer above 0")
 
 
 def non_negative_rule(value: Column) -> Rule:

@@ -129,5 +129,5 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 
 def max_size_guard(grid: DataFrame, max_width: int = 3000, max_height: int = 3000) -> DataFrame:
-    """Whole grids no larger than the limit."""
-    return sized(grid).filter((F.col("h") <= max_height) & (F.col("w") <= max_width))
+    """Every cell with ``within_limit``: whether its whole grid is no larger than the limit."""
+    return sized(grid).withColumn("within_limit", (F.col("h") <= max_height) & (F.col("w") <= max_width))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import components as C
@@ -12,12 +13,14 @@ from ..operators.select import luma
 from .registry import query
 
 # Two families of grids. ``vectors``: every 64-number embedding as 8 x 8 cells of 0-255,
-# one grid per row of the table. ``activity``: value per day and hour and event type.
+# one grid per row of the table. ``activity``: value per day and hour, one grid for every event type
+# and hundred users, scaled so that a grid's greatest cell is 255.
 VECTORS_SQL = """g AS (SELECT vec_id AS gid, (i // 8)::INT AS y, (i % 8)::INT AS x, 8 AS h, 8 AS w,
     least(255, greatest(0, round_even(128 + 256 * embedding[i + 1]::DOUBLE, 0))) AS v
   FROM embeddings, range(64) r(i))"""
-ACTIVITY_SQL = """sums AS (SELECT event_type AS gid, dayofmonth(ts) - 1 AS y, hour(ts) AS x, least(255, floor(round(sum(value), 6))) AS v FROM events GROUP BY ALL),
-frame AS (SELECT event_type AS gid, y, x FROM (SELECT DISTINCT event_type FROM events), range(31) a(y), range(24) b(x)),
+ACTIVITY_SQL = """raw AS (SELECT event_type || '-' || user_id // 100 AS gid, dayofmonth(ts) - 1 AS y, hour(ts) AS x, round(sum(value), 6) AS s FROM events GROUP BY ALL),
+sums AS (SELECT gid, y, x, floor(round(255 * s / max(s) OVER (PARTITION BY gid), 6)) AS v FROM raw),
+frame AS (SELECT gid, y, x FROM (SELECT DISTINCT gid FROM raw), range(31) a(y), range(24) b(x)),
 g AS (SELECT gid, y::INT AS y, x::INT AS x, 31 AS h, 24 AS w, coalesce(v, 0.0) AS v FROM frame LEFT JOIN sums USING (gid, y, x))"""
 
 
@@ -59,16 +62,19 @@ def vectors(t):
 
 
 def activity(t):
-    """One 31 x 24 grid per event type; cells without events are 0.
+    """One 31 x 24 grid per event type and hundred users; cells without events are 0.
 
-    The sums are aggregated before the empty frame is added, so both sides of
-    the union are small whatever the number of events.
+    The sums are aggregated before they are scaled and the empty frame is added, so
+    a grid has at most 744 rows by then, whatever the number of events.
     """
+    users = F.floor(F.col("user_id") / 100).cast("string")
     sums = t.events.groupBy(
-        F.col("event_type").alias("gid"),
+        F.concat(F.col("event_type"), F.lit("-"), users).alias("gid"),
         (F.dayofmonth("ts") - 1).alias("y"),
         F.hour("ts").alias("x"),
-    ).agg(F.least(F.lit(255.0), F.floor(F.round(F.sum("value"), 6)).cast("double")).alias("v"))
+    ).agg(F.round(F.sum("value"), 6).alias("s"))
+    scaled = F.floor(F.round(255 * F.col("s") / F.max("s").over(Window.partitionBy("gid")), 6)).cast("double")
+    sums = sums.select("gid", "y", "x", scaled.alias("v"))
     frame = sums.select("gid").distinct()
     frame = frame.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(30))))
     frame = frame.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("v", F.lit(0.0))

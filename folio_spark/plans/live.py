@@ -8,14 +8,22 @@ from ..functions import text as X
 from ..operators import select as S
 from ..session import scratch_path
 from ..streaming import live
+from ..streaming.tables import is_folder
 from .pages import clean_sql
 from .registry import query
 from .sources import LINES_SQL
 
 
+#: Files of repeated deliveries in one micro-batch.
+FILES_PER_BATCH = 3
+
+
 def streamed(t, name):
-    """A given table as a stream of its files."""
+    """A given table, one file or a folder of files, as a stream of its files."""
     schema = getattr(t, name).schema
+    path = f"{t.folder}/{name}.parquet"
+    if is_folder(t.spark, path):
+        return live.read_pages(t.spark, path, schema)
     return live.read_pages(t.spark, t.folder, schema, pattern=f"{name}.parquet")
 
 
@@ -80,12 +88,15 @@ def live_ledger(t):
 
 @query("live_first_delivery", "SELECT user_id, event_id, event_type FROM events")
 def live_first_delivery(t):
-    """Every event is delivered twice and kept once."""
+    """Every event is delivered twice, in files out of time order and over several batches, and kept once."""
     root = scratch_path(t.spark, "live-repeats")
-    twice = streamed(t, "events").select(
-        "user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
-        F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"),
+    twice = t.events.select(
+        "user_id", "event_id", "event_type",
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"), F.pmod("event_id", F.lit(4)).alias("slice"),
     )
-    once = live.drop_repeats(twice, ["user_id", "event_id"], "ts").select("user_id", "event_id", "event_type")
+    twice.write.partitionBy("delivery", "slice").parquet(f"{root}/deliveries")
+    files = t.spark.read.parquet(f"{root}/deliveries").schema
+    delivered = live.read_pages(t.spark, f"{root}/deliveries", files, files_per_batch=FILES_PER_BATCH)
+    once = live.drop_repeats(delivered, ["user_id", "event_id"]).select("user_id", "event_id", "event_type")
     live.append_pages(once, f"{root}/pages", f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/pages")

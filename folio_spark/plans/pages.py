@@ -66,10 +66,10 @@ UNION ALL SELECT conv_id, 2, turn // 1000, string_agg('## Turn ' || turn || chr(
 def markdown_doc(t):
     """Title with front matter, contents and pages of every conversation."""
     heading = F.concat(F.lit("## Turn "), F.col("turn"), F.lit("\n\n"), F.col("text"))
-    name = F.concat(F.lit("onversation "), F.col("conv_id"))
-    meta = F.create_map(F.lit("title"), F.concat(F.lit("c"), name), F.lit("pages"), F.col("pages").cast("string"))
+    named = lambda word: F.concat(F.lit(word + " "), F.col("conv_id"))
+    meta = F.create_map(F.lit("title"), named("conversation"), F.lit("pages"), F.col("pages").cast("string"))
     pages = t.conversations.withColumn("text", heading)
-    return K.markdown_parts(pages, "conv_id", "turn", "text", title=F.concat(F.lit("C"), name), metadata=meta)
+    return K.markdown_parts(pages, "conv_id", "turn", "text", title=named("Conversation"), metadata=meta)
 
 
 @query("nonblank_lines", LINES_SQL + f"""
@@ -113,9 +113,6 @@ def block_type(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", S.block_type(F.col("l_linenumber")).alias("block_type"))
 
 
-CORNER = "CAST(CAST(l_quantity AS INT) AS INT)"
-
-
 @query("bbox_polygon", """
 WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS a, (l_quantity + l_linenumber * 7)::INT AS b, l_linenumber * 3 AS c,
    (l_linenumber * 3 + l_quantity)::INT AS d FROM lineitem)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,13 +60,16 @@ def current_states(records: DataFrame, book: str = "book_title") -> DataFrame:
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
-    """Path, name, size and modification time of files, no creation time there."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("name"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("modified"),
+    """Path, name, size and modification time of files, from their listing; no rows for a missing path."""
+    try:
+        listed = spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, name string, size bigint, modified timestamp")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return listed.select(
+        "path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")
     )
 
 

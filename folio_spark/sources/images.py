@@ -11,20 +11,15 @@ from ..operators.select import LUMA_WEIGHTS
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images by Spark's image source, unreadable files left out."""
-    return (
-        spark.read.format("image")
-        .option("dropInvalid", True)
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("image.*")
-    )
+    """Decoded images by Spark's image source; an unreadable file is a row with ``success`` false."""
+    images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    return images.select("image.*", (F.col("image.height") > 0).alias("success"))
 
 
 def image_grids(images: DataFrame) -> DataFrame:
     """Brightness grids ``(gid, h, w, y, x, v)``; rounded like 8-bit grey images.
 
-    An image is cut into its lines before bytes become numbers, so a task holds
+    An unreadable image has no cells; its row stays with the images. An image is cut into its lines before bytes become numbers, so a task holds
     one line at a time, not an exploded image.
     """
     weights = np.array([LUMA_WEIGHTS[c] for c in "bgr"])
@@ -38,7 +33,7 @@ def image_grids(images: DataFrame) -> DataFrame:
         return pd.Series([one(line, n) for line, n in zip(lines, channels)])
 
     stride = F.col("width") * F.col("nChannels")
-    lines = images.select(
+    lines = images.filter("height > 0").select(
         F.col("origin").alias("gid"), F.col("height").alias("h"), F.col("width").alias("w"),
         "nChannels", "width", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"),
     ).select("gid", "h", "w", "y", "nChannels", F.substring("data", F.col("y") * stride + 1, stride).alias("line"))

@@ -16,7 +16,9 @@ BOM = "﻿"
 ENCODINGS = ["UTF-8", "UTF-8-SIG", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "US-ASCII", "ISO-8859-1"]
 
 
-def write_text(df: DataFrame, path: str, *, mode: str = "create", partition_by: list[str] | None = None) -> bool:
+def write_text(
+    df: DataFrame, path: str, *, mode: str = "create", partition_by: list[str] | None = None, line_sep: str = "\n"
+) -> bool:
     """Write a single text column; false for an unknown mode or an existing target of ``create``."""
     if mode not in MODES:
         return False
@@ -25,7 +27,7 @@ def write_text(df: DataFrame, path: str, *, mode: str = "create", partition_by:
     writer = df.write.mode(MODES[mode])
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.option("lineSep", "\n").text(path)
+    writer.option("lineSep", line_sep).text(path)
     return True
 
 
@@ -37,11 +39,15 @@ def write_pages(
 
     Rows are shuffled by book and page span, so an ordinary book is one file and
     a huge one several, whose names sort in page order. The separator stands
-    before every page but the first, the front matter before the first.
+    before every page but the first, the front matter before the first. Spark ends
+    every row with a line separator, for which the first character of ``separator``
+    serves: the files are the assembled text plus that character at the end.
     """
+    if not separator:
+        raise ValueError("pages need a separator")
     firsts = pages.groupBy(book).agg(F.min(page).alias("_first"))
     lead = F.lit("") if metadata is None else F.concat(front_matter(metadata), F.lit("\n"))
-    opened = F.when(F.col(page) == F.col("_first"), lead).otherwise(F.lit(separator))
+    opened = F.when(F.col(page) == F.col("_first"), lead).otherwise(F.lit(separator[1:]))
     rows = join_by_chunk(pages, firsts, [book], {"_chunk": page_chunk(page)}).select(
         book,
         F.concat(F.lit("span-"), F.lpad(F.floor(F.col(page) / page_span).cast("string"), 10, "0")).alias("span"),
@@ -49,7 +55,7 @@ def write_pages(
         F.concat(opened, F.col(text)).alias("value"),
     )
     ordered = rows.repartition(book, "span").sortWithinPartitions(book, "span", page)
-    return write_text(ordered.select(book, "span", "value"), path, mode=mode, partition_by=[book, "span"])
+    return write_text(ordered.select(book, "span", "value"), path, mode=mode, partition_by=[book, "span"], line_sep=separator[0])
 
 
 def with_toc(text: Column) -> Column:

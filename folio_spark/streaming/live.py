@@ -25,7 +25,7 @@ from ..operators.sequence import (
     page_chunk,
     sequence_states,
 )
-from .tables import batch_path, exists, read_or_empty, remove
+from .tables import batch_path, exists, remove
 
 
 def read_pages(
@@ -52,9 +52,14 @@ def append_pages(pages: DataFrame, folder: str, checkpoint: str, **trigger):
     )
 
 
-def drop_repeats(pages: DataFrame, keys: list[str], ts: str, delay: str = "1 hour") -> DataFrame:
-    """First delivery of every page; the watermark bounds how long keys are remembered."""
-    return pages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def drop_repeats(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """First delivery of every page, however late it comes.
+
+    All keys stay in the state, dealt to the shuffle partitions by key; a batch
+    costs what arrives in it. For many keys choose the RocksDB state store, which
+    keeps them on disk.
+    """
+    return pages.dropDuplicates(keys)
 
 
 # A detector takes the pages that are ready and returns, per book, the end page
@@ -117,7 +122,9 @@ class SequenceWatch:
         fresh = batch.select(*keys, F.col(page).cast("bigint").alias(page), self.content)
         carried_schema = T.StructType([*fresh.schema.fields, T.StructField("_base", T.LongType())])
         found_schema = T.StructType([*[fresh.schema[k] for k in keys], T.StructField("end", T.LongType())])
-        carried = read_or_empty(spark, batch_path(f"{self.root}/open", batch_id - 1), carried_schema)
+        before = batch_path(f"{self.root}/open", batch_id - 1)
+        # Only the first batch has nothing before it: a folder that is missing later is an error.
+        carried = spark.read.schema(carried_schema).parquet(before) if batch_id else spark.createDataFrame([], carried_schema)
         ended = self.ends(spark, found_schema, before=batch_id)
 
         bases = carried.groupBy(*keys).agg(F.max("_base").alias("_base"))

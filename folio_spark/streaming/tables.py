@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession
 
 
 def batch_path(root: str, batch_id: int) -> str:
@@ -26,7 +25,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop, True)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    if exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = file_system(spark, path)
+    return fs.getFileStatus(hadoop).isDirectory()

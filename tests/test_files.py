@@ -48,7 +48,7 @@ def test_write_pages(spark, tmp_path):
     pages = spark.createDataFrame(rows, "book string, page bigint, text string")
     meta = F.create_map(F.lit("title"), F.lit("T"))
     path = str(tmp_path / "doc")
-    assert sinks.write_pages(pages, path, "book", "page", "text", separator="==\n", metadata=meta)
+    assert sinks.write_pages(pages, path, "book", "page", "text", separator="\n==\n", metadata=meta)
     text = "".join(p.read_text() for p in sorted((tmp_path / "doc" / "book=b").rglob("part-*")))
     assert text == "---\nTitle: T\n---\n\npage 1\n==\npage 2\n==\npage 3\n"
     assert len(list((tmp_path / "doc" / "book=b").rglob("part-*"))) == 1
@@ -86,7 +86,7 @@ def test_encoding(spark):
 
 def test_info_metrics_and_replace(spark, tmp_path):
     (tmp_path / "f.txt").write_text("hello")
-    assert files.file_info(spark, str(tmp_path / "f.txt")).first()["size"] == 5
+    assert tuple(files.file_info(spark, str(tmp_path / "f.txt")).first())[1:3] == ("f.txt", 5)
     df = spark.createDataFrame([("t", 1, 0.1, 0.2, 0.5, 0.8, 100.0, 5.0)], files.METRIC)
     path = sinks.write_metrics(df, str(tmp_path), "20240101_000000")
     assert files.read_metrics(spark, path).first()["ocr_time"] == 0.5
@@ -118,7 +118,9 @@ def test_images_become_grids(spark, tmp_path):
     (tmp_path / "grey.png").write_bytes(png([[0, 10, 20], [30, 40, 255]], False))
     (tmp_path / "rgb.png").write_bytes(png([[255, 0, 0, 0, 255, 0], [0, 0, 255, 9, 9, 9]], True))
     (tmp_path / "broken.png").write_bytes(b"nothing")
-    rows = images.image_grids(images.scan_images(spark, str(tmp_path))).collect()
+    scanned = images.scan_images(spark, str(tmp_path))
+    assert {r["origin"].rsplit("/", 1)[1]: r["success"] for r in scanned.collect()} == {"grey.png": True, "rgb.png": True, "broken.png": False}
+    rows = images.image_grids(scanned).collect()
     grey = {(r["y"], r["x"]): r["v"] for r in rows if r["gid"].endswith("grey.png")}
     rgb = {(r["y"], r["x"]): r["v"] for r in rows if r["gid"].endswith("rgb.png")}
     assert grey == {(0, 0): 0, (0, 1): 10, (0, 2): 20, (1, 0): 30, (1, 1): 40, (1, 2): 255}

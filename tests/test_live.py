@@ -71,11 +71,13 @@ def test_ledger_resumes(spark, tmp_path):
 
 
 def test_repeats_are_dropped(spark, tmp_path):
-    rows = [("a", p, f"2024-01-01 00:00:{p:02d}") for p in range(10)] * 2
     folder = str(tmp_path / "in")
-    df = spark.createDataFrame(rows, "book string, page bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    df.repartition(2).write.parquet(folder)
-    pages = live.read_pages(spark, folder, spark.read.parquet(folder).schema)
-    once = live.drop_repeats(pages, ["book", "page"], "ts")
+    # One file and batch each; pages that come hours late are first deliveries all the same.
+    for hour, numbers in ((10, range(4, 8)), (1, range(4)), (12, range(6, 10)), (2, range(10))):
+        rows = [("a", p, f"2024-01-01 {hour:02d}:00:00") for p in numbers]
+        df = spark.createDataFrame(rows, "book string, page bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+    pages = live.read_pages(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    once = live.drop_repeats(pages, ["book", "page"])
     live.append_pages(once, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10

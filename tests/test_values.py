@@ -85,7 +85,7 @@ def test_selection(spark):
     row = known.first()
     assert row["text"] == "n" and row["last_update"] is not None and "other" not in known.columns
     grid = spark.createDataFrame([("a", 0, 5000, 1.0), ("b", 10, 10, 1.0)], "gid string, y int, x int, v double")
-    assert [r["gid"] for r in S.max_size_guard(grid).collect()] == ["b"]
+    assert {r["gid"]: r["within_limit"] for r in S.max_size_guard(grid).collect()} == {"a": False, "b": True}
 
 
 def test_rules(spark):
