@@ -317,7 +317,7 @@ def grid_edges(t):
 
 
 VOTES_SQL = """
-, pts AS (SELECT gid, y, x FROM g WHERE v > 150),
+, pts AS (SELECT gid, y, x FROM g WHERE v > 30),
 votes AS (SELECT gid, round_even(round(x * cos(radians(a)) + y * sin(radians(a)), 9), 0)::INT AS rho, a AS theta, count(*) AS n FROM pts, range(180) t(a) GROUP BY ALL),
 tops AS (SELECT v.* FROM votes v LEFT JOIN votes p ON p.gid = v.gid AND p.theta = v.theta AND p.rho = v.rho - 1
    LEFT JOIN votes q ON q.gid = v.gid AND q.theta = v.theta AND q.rho = v.rho + 1
@@ -331,7 +331,7 @@ tops AS (SELECT v.* FROM votes v LEFT JOIN votes p ON p.gid = v.gid AND p.theta
 SELECT gid, median(theta - 90)::DOUBLE AS angle FROM tops WHERE abs(theta - 90) < 45 GROUP BY gid HAVING abs(median(theta - 90)) >= 0.5
 """)
 def dominant_angle(t):
-    return G.dominant_angle(activity(t).filter("v > 150"), votes=12)
+    return G.dominant_angle(activity(t).filter("v > 30"), votes=12)
 
 
 @query("grid_projection", f"WITH {ACTIVITY_SQL}" + """
