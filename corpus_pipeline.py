@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each the full work of one operator on what the stage before it kept.
 
 1. ``language_id`` drops documents without a letter and documents no language of which holds half;
-2. ``near_duplicates`` keeps the document of least id of each component of near duplicates;
+2. ``near_duplicates`` keeps one row of each component of near duplicates: that of least id, of rows without an id
+   only if the component has no other, and of rows that share this id the first;
 3. ``decontamination`` drops documents that hold a window of a benchmark item;
 4. ``personal_data`` replaces personal data in the texts and counts their characters anew;
 5. ``packing`` packs what is left into sequences and returns its pieces.
@@ -17,7 +18,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio_spark.llm import decontam, jaccard, langid, packing, pii
-from folio_spark.llm.common import shared_folder
+from folio_spark.llm.common import shared_folder, written
 from folio_spark.llm.queries import CAPACITY, END_ID, fold, word_tokenizer
 
 #: Share of a document's letters that its language has at least.
@@ -32,9 +33,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_components(docs)
-    copies = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # One number per row, kept in a table: ids may be missing, repeated or shared by different texts.
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.near_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    # A minimum combines before the shuffle, so a large component doesn't meet in one task.
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,21 @@ def test_pipeline(spark):
     total = sum(len(ids_of(r.text)) for r in kept.select("text").collect())
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert sum(r.length for r in rows) == total and {r.doc_id for r in rows} == {r.doc_id for r in kept.collect()}
+
+
+def test_near_duplicates_odd_ids(spark):
+    one, two, three, four, five = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcde")
+    rows = [
+        (7, one), (7, one), (7, one + " x"),  # repeated and near rows of one id
+        (None, two), (None, two), (3, two),  # copies without an id beside one that has an id
+        (None, three), (None, three),  # no copy has an id
+        (9, four), (2, four), (9, five),  # an id shared by a copy and a text of its own
+        (None, "no window"), (4, None),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place long")
+    kept = corpus_pipeline.near_duplicates(spark, docs.repartition(3), FOLDER)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    groups = [(2, four), (3, two), (7, one), (9, five), (None, three), (None, "no window"), (4, None)]
+    assert [r for r in found if r[0] != 7] == sorted((g for g in groups if g[0] != 7), key=repr)
+    assert len([r for r in found if r[0] == 7]) == 1
