@@ -151,8 +151,11 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
 def best_labels(scores: np.ndarray, doc: np.ndarray, n: int, penalty: float) -> np.ndarray:
     """Viterbi labels of the words of ``n`` texts.
 
-    One label for a whole text is best if no stretch of words gains more than the penalty under any
-    other; only texts that fail this test (the largest sum of consecutive gains) need the search.
+    The language of largest total is best for a whole text unless (a) some stretch of words gains more
+    than the penalty under another: ``m`` stretches beside words of the main language take at least
+    ``m`` switches; or (b) the words' best other languages gain more than the penalty over it together:
+    without any word of the main language ``m`` stretches take only ``m - 1`` switches, and with none
+    of these nothing is gained. Only texts that fail a test need the search.
     """
     counts = np.bincount(doc, minlength=n)
     firsts = np.cumsum(counts) - counts
@@ -161,15 +164,23 @@ def best_labels(scores: np.ndarray, doc: np.ndarray, n: int, penalty: float) ->
     totals[held] = np.add.reduceat(scores, firsts[held], axis=0, dtype="f8")
     main = totals.argmax(1)
     labels = main[doc].astype("i4")
-    own = scores[np.arange(len(doc)), labels]
+    own = scores[np.arange(len(doc)), labels].astype("f8")
     mixed = np.zeros(n, bool)
+    least_gain = penalty - 1e-3
+    others = np.full(len(doc), -np.inf)
     for k in range(scores.shape[1]):
-        gains = np.cumsum(scores[:, k] - own, dtype="f8")
-        before = np.concatenate([[0.0], gains[:-1]])
-        # Each text starts far below the one before it, so that a running least value starts anew.
-        step = 2 * (float(np.abs(gains).max(initial=0)) + 1)
-        least = np.minimum.accumulate(before - step * doc) + step * doc
-        mixed[doc[gains - least > penalty - 1e-3]] = True
+        gains = scores[:, k] - own
+        others = np.where(labels == k, others, np.maximum(others, gains))
+        # A word beyond these bounds settles its stretches alone; sums of bounded gains stay precise.
+        gains = np.clip(gains, -2 * penalty - 1, 2 * penalty + 1)
+        rises, falls = np.maximum(gains, 0), np.maximum(-gains, 0)
+        risen, fallen = np.cumsum(rises) - rises, np.cumsum(falls) - falls
+        # Rises count from the text's start and falls from the first text's: each text starts at or below
+        # all sums before it, so that the running least value starts anew.
+        before = risen - risen[firsts[doc]] - fallen
+        mixed[doc[before + gains - np.minimum.accumulate(before) > least_gain]] = True
+    if scores.shape[1] > 1:
+        mixed[held] |= np.add.reduceat(others, firsts[held]) > least_gain
     if mixed.any():
         hard = mixed[doc]
         labels[hard] = viterbi(scores[hard], counts[mixed], penalty)

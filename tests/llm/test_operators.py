@@ -391,6 +391,23 @@ def test_viterbi():
     assert abs(worth(got) - worth(expected)) < 1e-2
 
 
+def test_labels_without_the_main_language():
+    # The second language is best on average and for no single word.
+    text = np.array([(3, 0, -10)] * 2 + [(-10, 0, 3)] * 2, "f4")
+    assert langid.best_labels(text, np.zeros(4, "i8"), 1, 8.0).tolist() == [0, 0, 2, 2]
+    # Many short texts after one another; now and then a word's script rules out languages.
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 7, 4000)
+    doc = np.repeat(np.arange(4000), counts)
+    scores = rng.normal(0, 2, (len(doc), 3)).astype("f4")
+    scores[rng.random(scores.shape) < 0.02] = -1e6
+    got = langid.best_labels(scores, doc, 4000, 4.0)
+    for d in np.flatnonzero(counts):
+        mine = scores[doc == d].astype("f8")
+        worth = [mine[range(len(mine)), x].sum() - 4.0 * np.count_nonzero(np.diff(x)) for x in (got[doc == d], brute_viterbi(mine, 4.0))]
+        assert worth[0] > worth[1] - 1e-2, d
+
+
 def test_language_spans(spark, docs, empty):
     en, de = "the cat and the dog went with this thing there ", "der hund und die katze nicht mit einer schule auch "
     ru = "кошка и собака пошли вместе домой "
