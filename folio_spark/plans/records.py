@@ -9,7 +9,6 @@ from ..functions import records as R
 from ..operators import progress as P
 from ..operators.assemble import assemble_pages
 from ..operators.sequence import page_chunk
-from ..operators.skew import join_by_chunk
 from .registry import query
 from .sequences import severity_of
 
@@ -113,7 +112,7 @@ FROM i GROUP BY o_custkey, o_orderkey // 100000000
 def md_report(t):
     """One report per customer, its orders as issues, numbered by order key.
 
-    Sections are assembled like pages, in parts of a key span.
+    Sections are assembled like pages, in parts of a key span; each part is a report with its own summary.
     """
     severity = severity_of("o_orderpriority")
     category = F.when(F.col("o_orderstatus") == "F", "bug").when(F.col("o_orderstatus") == "O", "security").otherwise("other")
@@ -125,9 +124,8 @@ def md_report(t):
     )
     issues = t.orders.select("o_custkey", "o_orderkey", section.alias("section"), severity.alias("severity"))
     body = assemble_pages(issues, "o_custkey", "o_orderkey", "section", sep="\n\n", part_pages=100_000_000)
-    counts = P.severity_counts(issues, F.col("severity"), ["o_custkey"])
+    parts = issues.withColumn("part", page_chunk("o_orderkey", 100_000_000))
+    counts = P.severity_counts(parts, F.col("severity"), ["o_custkey", "part"])
     head = R.summary_section(*[F.col(c) for c in ("total_issues", "high_severity", "medium_severity", "low_severity")])
     report = F.concat(head, F.lit("\n\n### 🔍 Findings\n\n"), F.col("text"))
-    whole = F.when(F.col("part") == 0, report).otherwise(F.col("text"))
-    both = join_by_chunk(body, counts, ["o_custkey"], {"_chunk": page_chunk("part", 64)})
-    return both.select("o_custkey", whole.alias("report"))
+    return body.join(counts, ["o_custkey", "part"]).select("o_custkey", report.alias("report"))
