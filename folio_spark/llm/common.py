@@ -42,6 +42,14 @@ def give_back() -> None:
         trim(0)
 
 
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that the frame doesn't use, letter case aside."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def add_columns(
     df: DataFrame, fields: list[StructField], fill: Callable[[pa.RecordBatch], list[pa.Array]]
 ) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folio_spark.llm import decontam, jaccard, langid, packing, pii, tokenfile, topk, toxicity, urls, warc
+from folio_spark.llm import (
+    audit, decontam, fim, jaccard, langid, licenses, packing, pii, tokenfile, topk, toxicity, urls, warc,
+)
 from folio_spark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,3 +268,97 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.shown(F.col("base_spans")), 256).alias("base_sha256"),
         pii.shown(F.col("pii_spans")).alias("spans"),
     )
+
+
+FILL_IN_MIDDLE_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+h AS (
+  SELECT doc_id, t, n, ('0x' || substr(hex, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(hex, 9, 8))::BIGINT % (n + 1) AS b,
+         ('0x' || substr(hex, 17, 8))::BIGINT % 100 AS plain, ('0x' || substr(hex, 25, 8))::BIGINT % 100 AS turned FROM d),
+f AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR plain >= 90 THEN 'plain'
+                 WHEN turned < 20 THEN 'spm' ELSE 'psm' END AS form,
+         '<P>' || substr(t, 1, least(a, b)) AS p, '<M>' || substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m,
+         '<S>' || substr(t, greatest(a, b) + 1) AS s FROM h)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN least(a, b) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN p || s || m WHEN 'spm' THEN s || p || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+@query("op11_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, doc_id, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+cells AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM masks LEFT JOIN l USING (doc_id) GROUP BY ALL),
+made(o) AS (
+  SELECT '' UNION ALL SELECT o || f FROM made, unnest(['A', 'B', 'C', 'D', 'E']) t(f) WHERE NOT contains(o, f)),
+steps AS (
+  SELECT o, step, 1 << (ascii(substr(o, step, 1)) - 65) AS bit,
+         coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))), 0)::INT AS before
+  FROM made, unnest(range(1, 6)) t(step) WHERE length(o) = 5),
+counts AS (
+  SELECT part, o, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counts
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    filters = audit.text_filters()
+    cells = audit.mask_cells(table(spark, folder, "documents"), table(spark, folder, "labels"), filters)
+    return audit.audit(cells, "".join(filters) + "E")
+
+
+@query("op13_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )

@@ -18,7 +18,7 @@ def test_query(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
 
 
 def test_learned_queries(spark):
