@@ -202,19 +202,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, d: acc + d)
 
 
-def similarity_score(
-    df: DataFrame, book, page: str, signature: str, bits: int = 256, *, width: int = CHUNK
-) -> DataFrame:
-    """Distance and score of each page against the page before it."""
-    out = previous_page(df, book, page, {"_previous": signature}, width=width)
-    distance = hamming(F.col("_previous"), F.col(signature))
-    return (
-        out.withColumn("distance", distance)
-        .withColumn("score", F.lit(1.0) - F.col("distance") / F.lit(float(bits)))
-        .drop("_previous")
-    )
-
-
 def similar_pages(pairs: DataFrame, left: str, right: str, threshold: int = 5, bits: int = 256):
     """Compare two signatures per row: distance, score and the verdict.
 

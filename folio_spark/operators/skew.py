@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def join_by_chunk(
@@ -22,3 +23,29 @@ def join_by_chunk(
     pieces = marked.select(*keys, *names).distinct()
     repeated = pieces.join(per_key, keys)
     return marked.join(repeated, [*keys, *names], how).drop(*names)
+
+
+def salted_join(
+    rows: DataFrame, per_key: DataFrame, key: str | list[str], deal: str, how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Join rows to a table with one row per key, each key's rows dealt to ``salts`` tasks by ``deal``.
+
+    Unlike ``join_by_chunk`` the rows are read once. The table is repeated, so it should have far fewer
+    rows than the other side; ``deal`` is a column that differs among the rows of a key.
+    """
+    keys = [key] if isinstance(key, str) else key
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def uneven_join(rows: DataFrame, per_key: DataFrame, key: str, deal: str, heavy: Column) -> DataFrame:
+    """Inner join to a table with about as many keys as there are rows, of which few are ``heavy``.
+
+    Only the heavy keys are repeated for a salted join; the rows that it leaves meet the others by key.
+    """
+    names = [c for c in per_key.columns if c != key]
+    marked = salted_join(rows, per_key.where(heavy).withColumn("_heavy", F.lit(True)), key, deal, "left")
+    light = marked.where(F.col("_heavy").isNull()).select(*rows.columns)
+    met = light.join(per_key.where(~heavy), key)
+    return marked.where("_heavy").select(*rows.columns, *names).unionByName(met.select(*rows.columns, *names))

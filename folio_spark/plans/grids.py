@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import anchors as A
 from ..operators import components as C
 from ..operators import grid as G
 from ..operators import prepare as P
@@ -405,18 +406,21 @@ def books(t):
     return numbered.join(signatures(t), "gid").drop("gid")
 
 
-BOOKS_SQL = PHASH_SQL + """
+@query("similarity_score", PHASH_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """
 , pg AS (SELECT gid % 5 AS book, gid // 5 AS page, bits FROM bits),
-d AS (SELECT a.book, a.page, b.page AS other, hamming(a.bits, b.bits) AS dist FROM pg a JOIN pg b ON a.book = b.book AND b.page > a.page AND b.page <= a.page + 2)
-"""
-
-
-@query("similarity_score", BOOKS_SQL + """
-SELECT p.book, p.page, d.dist AS distance, 1 - d.dist / 64.0::DOUBLE AS score FROM pg p LEFT JOIN d ON d.book = p.book AND d.other = p.page AND d.page = p.page - 1
+walk(book, page, distance, anchor_page, anchor, kept) AS (
+  SELECT book, page, NULL::BIGINT, NULL::BIGINT, bits, page FROM pg WHERE page = 0
+  UNION ALL
+  SELECT p.book, p.page, hamming(w.anchor, p.bits), w.kept,
+         CASE WHEN hamming(w.anchor, p.bits) <= 30 THEN w.anchor ELSE p.bits END,
+         CASE WHEN hamming(w.anchor, p.bits) <= 30 THEN w.kept ELSE p.page END
+  FROM walk w JOIN pg p ON p.book = w.book AND p.page = w.page + 1)
+SELECT book, page, anchor_page, distance, 1 - distance / 64.0::DOUBLE AS score FROM walk
 """)
 def similarity_score(t):
-    out = Q.similarity_score(books(t), "book", "page", "signature", bits=64)
-    return out.select("book", "page", "distance", "score")
+    """Each page against its anchor; random vectors are far apart, so the threshold is wide."""
+    out = A.similarity_score(books(t), "book", "page", "signature", bits=64, threshold=30)
+    return out.select("book", "page", "anchor_page", "distance", "score")
 
 
 @query("end_page_similar", PHASH_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import select as S
 from ..session import scratch_path
-from ..streaming import live
+from ..streaming import live, watch
 from ..streaming.tables import is_folder
 from .pages import clean_sql
 from .registry import query
@@ -50,9 +50,9 @@ SELECT doc_id, min(pos) AS end_page FROM marked WHERE line = l1 AND line = l2 GR
 def live_end_page(t):
     root = scratch_path(t.spark, "live-ends")
     pages = streamed(t, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    watch = live.SequenceWatch(f"{root}/state", "doc_id", "pos", "line", live.end_detector("line", 3), first_page=0)
-    watch.start(pages, f"{root}/checkpoint").awaitTermination()
-    return watch.ends(t.spark).withColumnRenamed("end", "end_page")
+    ends = watch.watched(pages, "doc_id", "pos", "line", watch.Repeats(3), first_page=0)
+    watch.start(ends, f"{root}/ends", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/ends").select("doc_id", F.col("end").alias("end_page"))
 
 
 @query("live_failure_alarm", """
@@ -67,9 +67,9 @@ def live_failure_alarm(t):
         F.floor(F.col("event_id") / 97).alias("page"),
         (F.col("event_type") == "error").alias("failed"),
     )
-    watch = live.SequenceWatch(f"{root}/state", "book", "page", "failed", live.failure_detector("failed", 3), first_page=0)
-    watch.start(pages, f"{root}/checkpoint").awaitTermination()
-    return watch.ends(t.spark).withColumnRenamed("end", "alarm_page")
+    ends = watch.watched(pages, "book", "page", "failed", watch.Failures(3), first_page=0)
+    watch.start(ends, f"{root}/alarms", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/alarms").select("book", F.col("end").alias("alarm_page"))
 
 
 @query("live_ledger", """
