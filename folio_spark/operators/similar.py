@@ -33,6 +33,8 @@ MOST = 4096
 #: How often a large bucket is cut by further pieces before it is dealt into blocks.
 DEPTH = 3
 WORD_BITS = 64
+#: Hashes counted in one byte per bit: the sums stay below the sign.
+BLOCK = 127
 SEPARATORS = r"[\x20\x09-\x0D]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,16 +68,30 @@ def text_fingerprint(text: Column, bits: int = 64) -> Column:
         return F.transform(features, one_hash)
 
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    # Every eighth bit of a hash has a byte of the sum to itself, so one addition counts eight bits.
+    eighth = F.lit(int("01" * 8, 16)).cast("bigint")
+
+    def counted(block: Column, shift: int) -> Column:
+        return F.aggregate(block, zero, lambda total, h: total + F.shiftrightunsigned(h, shift).bitwiseAND(eighth))
 
     def voted(own: Column) -> Column:
-        def take(made: Column, place: Column) -> Column:
-            ones = F.aggregate(
-                own, F.lit(0), lambda n, h: n + F.call_function("shiftrightunsigned", h, place).bitwiseAND(one).cast("int")
-            )
-            bit = F.when(2 * ones > F.size(own), F.call_function("shiftleft", one, place)).otherwise(zero)
-            return made.bitwiseOR(bit)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), zero, take)
+        number = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(number, lambda b: F.slice(own, b * BLOCK + 1, F.lit(BLOCK)))
+        counts = F.transform(blocks, lambda block: F.array(*(counted(block, shift) for shift in range(8))))
+
+        def packed(held: Column) -> Column:
+            def take(made: Column, place: Column) -> Column:
+                shift, lane = place % 8, place.bitwiseAND(F.lit(56))
+
+                def add(n: Column, block: Column) -> Column:
+                    return n + F.call_function("shiftrightunsigned", F.get(block, shift), lane).bitwiseAND(F.lit(255).cast("bigint"))
+
+                bit = F.when(2 * F.aggregate(held, zero, add) > F.size(own), F.call_function("shiftleft", one, place))
+                return made.bitwiseOR(bit.otherwise(zero))
+
+            return F.aggregate(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), zero, take)
+
+        return let(counts, packed)
 
     def signed(features: Column) -> Column:
         words = [let(hashes(features, number), voted) for number in range(bits // WORD_BITS)]
