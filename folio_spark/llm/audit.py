@@ -22,7 +22,7 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folio_spark.llm.common import salted_join
+from folio_spark.llm.common import salted_join, written
 
 #: The counts of a step.
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
@@ -64,11 +64,9 @@ def mask_cells(
     ).withColumn("words", words(F.col("text")))
     bits = sum((F.when(fails, 1 << i).otherwise(0) for i, fails in enumerate(filters.values())), F.lit(0))
     # Repeated rows become one with a count, which combines before the shuffle.
-    rows = (
-        own.select("id", "part", bits.alias("mask"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
-        .groupBy("id", "part", "mask", "digest")
-        .agg(F.count("*").alias("n"))
-    )
+    narrow = own.select("id", "part", bits.alias("mask"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    # Read twice below, so kept as a table: the texts are read and split once.
+    rows = written(narrow.groupBy("id", "part", "mask", "digest").agg(F.count("*").alias("n")), "masks")
     # The least id of a text combines likewise; an id meets its texts' firsts by both, so no large group of copies does.
     firsts = rows.groupBy("digest").agg(F.min("id").alias("id")).where("id IS NOT NULL").withColumn("first", F.lit(True))
     repeated = F.col("id").isNotNull() & F.col("first").isNull()

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -34,6 +35,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one file have numbers of so many bits; the files' numbers stand above them.
+ROW_BITS = 40
+
+
+def numbered(table: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of a Parquet table with a number each, and the number's column; no copy is made.
+
+    A row's number comes from its file and its place in it, so every reading, also by a task that is run
+    again, gives the same. What is broadcast is one number per file, which the driver has listed anyway.
+    A frame that isn't read from files is written as a table first.
+    """
+    name, file, order = (spare_name(table, stem) for stem in ("row", "file", "number"))
+
+    def located(rows: DataFrame) -> DataFrame:
+        place = rows.metadataColumn("_metadata")
+        return rows.select("*", place["file_path"].alias(file), place["row_index"].alias(name))
+
+    try:
+        rows = located(table)
+        rows.schema  # analysed here: fails for a frame without files
+    except AnalysisException:
+        rows = located(written(table, "rows"))
+    paths = sorted(r[0] for r in rows.select(file).distinct().collect())
+    files = table.sparkSession.createDataFrame(list(enumerate(paths)), f"{order} long, {file} string")
+    row = (F.shiftleft(F.col(order), ROW_BITS) + F.col(name)).alias(name)
+    return rows.join(F.broadcast(files), file).select(*table.columns, row), name
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on for other tasks."""
     pa.default_memory_pool().release_unused()

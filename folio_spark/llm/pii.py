@@ -1,13 +1,16 @@
 """Personal data by candidate gradient boosting, on DataFrame functions alone.
 
 Base spans follow fixed rules per kind (pattern and check). Beside them, generators of high recall
-propose overlapping candidates. A candidate has format features (kind, digits, separators, grouping,
-a leading plus) and context features (the characters around it, cue words before it). Its training
-label is whether the base rules verify it; no feature repeats a rule's check, so look-alikes of
-verified data in verified data's surroundings score high. Features are small whole numbers, so all
-candidates of the corpus count into a table of bounded size, on which trees are boosted; scores are
-calibrated on a held-out half, and per kind the least score of the wanted precision selects. Chosen
-candidates that overlap neither a base span nor a likelier candidate are added; base spans stay.
+propose overlapping candidates. A candidate has format features (kind, digits in steps of four,
+separators, grouping) and context features (the characters around it, cue words before it). Its
+training label is whether the base rules verify it; no feature repeats a rule's check (a leading plus,
+the number of digits, the check digit), so look-alikes of verified data in verified data's surroundings
+score high. Features are small whole numbers, so all candidates of the corpus count into a table of
+bounded size, on which trees are boosted; scores are calibrated on a held-out half, and per kind the
+least score whose share of verified candidates, by the rule of succession, reaches the wanted precision
+selects. Chosen candidates that overlap no base span are gone through from left to right: of two that
+overlap the likelier stays, and what is left is added; base spans stay. Spans of one text are swept in
+order, so a text with very many of them takes time in proportion to their number.
 
 Positions are code points, ends exclusive. Cases: a null or empty text has no spans; repeated rows
 are judged alike; ties between overlapping candidates go to the earlier kind, then start; without
@@ -17,12 +20,14 @@ of a result is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folio_spark.functions.binding import let
+from folio_spark.llm.common import spare_name
 
 # Kinds in their order, patterns, cue words.
 KINDS = ["email", "ip", "card", "phone"]
@@ -49,33 +54,44 @@ OTHER_CUE = r"(?i)\b(?:token|key|id|order|invoice|version|isbn|hash|no)\b\W*$"
 #: Code points of context on either side.
 CONTEXT = 24
 LEAST_DIGITS = 7
-FEATURES = ["kind", "digits", "separators", "plus", "grouping", "before", "after", "cue"]
+FEATURES = ["kind", "size", "separators", "grouping", "before", "after", "cue"]
 #: Values of each feature, in the order above: the training table has at most their product of rows, twice over.
-WIDTHS = [4, 24, 6, 2, 3, 5, 5, 3]
+WIDTHS = [4, 7, 6, 3, 5, 5, 3]
 CHUNK = 512
 
 
-def starts_of(gaps: Column, lengths: Column) -> Column:
-    """Start of each match from the lengths of the pieces between and of the matches, in linear time."""
-    steps = F.arrays_zip(gaps.alias("gap"), lengths.alias("length"))
+def scan(items: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]], emits: str) -> Column:
+    """``carry`` and ``out`` of a pass over an array: each item gives a new carry and an element of type ``emits``.
+
+    Elements are gathered in chunks, so a long array takes linear time.
+    """
 
-    def add(state: Column, step: Column) -> Column:
-        begin = state["at"] + step["gap"]
-        return F.struct((begin + step["length"]).alias("at"), F.concat(state["out"], F.array(begin)).alias("out"))
+    def add(state: Column, item: Column) -> Column:
+        new, element = step(state["carry"], item)
+        return F.struct(new.alias("carry"), F.concat(state["out"], F.array(element)).alias("out"))
 
     def empty(at: Column) -> Column:
-        return F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.struct(at.alias("carry"), F.array().cast(f"array<{emits}>").alias("out"))
 
-    def chunk(state: Column, first: Column, all_steps: Column) -> Column:
-        own = F.aggregate(F.slice(all_steps, first, CHUNK), empty(state["at"]), add)
-        return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(state["out"], o["out"]).alias("out")))
+    def chunk(state: Column, first: Column, every: Column) -> Column:
+        own = F.aggregate(F.slice(every, first, CHUNK), empty(state["carry"]), add)
+        return let(own, lambda o: F.struct(o["carry"].alias("carry"), F.concat(state["out"], o["out"]).alias("out")))
+
+    def whole(every: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(CHUNK))
+        return F.aggregate(firsts, empty(carry), lambda state, first: chunk(state, first, every))
+
+    return let(items, whole)
 
-    return let(
-        steps,
-        lambda s: F.aggregate(
-            F.sequence(F.lit(1), F.size(s), F.lit(CHUNK)), empty(F.lit(0)), lambda state, first: chunk(state, first, s)
-        )["out"],
-    )
+
+def starts_of(gaps: Column, lengths: Column) -> Column:
+    """Start of each match from the lengths of the pieces between and of the matches."""
+
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
+        begin = at + piece["gap"]
+        return begin + piece["length"], begin
+
+    return scan(F.arrays_zip(gaps.alias("gap"), lengths.alias("length")), F.lit(0), step, "int")["out"]
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -175,9 +191,8 @@ def features(kind: int, c: Column) -> Column:
     cue = F.when(c["before"].rlike(CUES[KINDS[kind]]), 1).when(c["before"].rlike(OTHER_CUE), 2).otherwise(0)
     values = [
         F.lit(kind),
-        F.least(F.length(digits_of(match)), F.lit(WIDTHS[1] - 1)),
+        F.least(F.floor(F.length(digits_of(match)) / 4), F.lit(WIDTHS[1] - 1)),
         separators,
-        F.when(match.startswith("+"), 1).otherwise(0),
         grouping,
         side(c["before"], True),
         side(c["after"], False),
@@ -205,14 +220,39 @@ def candidates(text: Column) -> Column:
     )
 
 
-def examined(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with ``_base`` and ``_candidates``; texts without digit and at sign are not searched."""
-    text = F.col(text_col)
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def examined(text: Column) -> tuple[Column, Column]:
+    """Base spans and candidates of a text; one without digit and at sign is not searched."""
     some = F.coalesce(text.rlike("[0-9@]|[(\\[]at[)\\]]|\\x20at\\x20"), F.lit(False))
-    spans = "array<struct<start:int,kind:int,end:int>>"
-    return docs.withColumn("_base", F.when(some, base_spans(text)).otherwise(F.array().cast(spans))).withColumn(
-        "_candidates", F.when(some, candidates(text))
-    )
+    return F.when(some, base_spans(text)).otherwise(F.array().cast(SPANS)), F.when(some, candidates(text))
+
+
+def span(s: Column) -> list[Column]:
+    return [s[name].alias(name) for name in ("start", "kind", "end")]
+
+
+def verified(base: Column, proposed: Column) -> Column:
+    """The features ``f`` of each candidate, and whether it is a base span: both lie side by side when sorted."""
+    none = F.lit(None).cast(f"struct<{','.join(f'{name}:int' for name in FEATURES)}>")
+    of_base = F.transform(base, lambda s: F.struct(*span(s), F.lit(0).alias("proposed"), none.alias("f")))
+    of_all = F.transform(proposed, lambda c: F.struct(*span(c), F.lit(1).alias("proposed"), c["f"].alias("f")))
+
+    def beside(rows: Column) -> Column:
+        marked = F.transform(
+            rows,
+            lambda r, i: F.struct(
+                r["f"].alias("f"),
+                r["proposed"].alias("proposed"),
+                F.coalesce(
+                    F.struct(*span(r)) == let(F.get(rows, i - 1), lambda before: F.struct(*span(before))), F.lit(False)
+                ).alias("verified"),
+            ),
+        )
+        return F.filter(marked, lambda r: r["proposed"] == 1)
+
+    return let(F.array_sort(F.concat(of_base, of_all)), beside)
 
 
 @dataclass
@@ -286,8 +326,11 @@ def boost(x: np.ndarray, hits: np.ndarray, counts: np.ndarray, rounds: int, rate
     return model
 
 
-def calibrated(model: Boosted, x: np.ndarray, hits: np.ndarray, counts: np.ndarray, precision: float, least: int):
-    """Per kind the least margin from which the held-out candidates' calibrated share reaches the precision."""
+def calibrated(model: Boosted, x: np.ndarray, hits: np.ndarray, counts: np.ndarray, precision: float) -> Boosted:
+    """Per kind the least margin from which the held-out candidates' calibrated share reaches the precision.
+
+    The share of few candidates counts for less: one hit and one miss are added to each block.
+    """
     margins = model.margins(x)
     for kind in range(len(KINDS)):
         mine = np.flatnonzero(x[:, 0] == kind)
@@ -297,8 +340,8 @@ def calibrated(model: Boosted, x: np.ndarray, hits: np.ndarray, counts: np.ndarr
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 a, b = blocks.pop(), blocks.pop()
                 blocks.append([a[0] + b[0], a[1] + b[1], b[2]])
-        chosen = [b for b in blocks if b[0] >= precision * b[1]]
-        if sum(b[1] for b in chosen) >= least:
+        chosen = [b for b in blocks if b[0] + 1 >= precision * (b[1] + 2)]
+        if chosen:
             model.thresholds[kind] = float(chosen[0][2]) - 1e-9
     return model
 
@@ -309,16 +352,13 @@ def learn(
     rounds: int = 30,
     rate: float = 0.3,
     precision: float = 0.9,
-    least: int = 50,
 ) -> Boosted:
     """Trees and thresholds from all candidates of the corpus."""
-    base, c = F.col("_base"), F.col("c")
-    verified = F.exists(base, lambda s: (s["start"] == c["start"]) & (s["kind"] == c["kind"]) & (s["end"] == c["end"]))
+    text = F.col(text_col)
     table = (
-        examined(docs.select(text_col), text_col)
-        .select("_base", F.explode("_candidates").alias("c"), F.pmod(F.xxhash64(text_col), F.lit(2)).alias("half"))
+        docs.select(F.pmod(F.xxhash64(text), F.lit(2)).alias("half"), F.explode(verified(*examined(text))).alias("c"))
         .groupBy("half", "c.f")
-        .agg(F.count_if(verified).alias("hits"), F.count("*").alias("n"))
+        .agg(F.count_if(F.col("c.verified")).alias("hits"), F.count("*").alias("n"))
     )
     # A row for each combination of features that occurs: bounded by the product of their widths.
     rows = [(r["half"], *r["f"], r["hits"], r["n"]) for r in table.collect()]
@@ -328,36 +368,73 @@ def learn(
     x, hits, counts = data[:, 1:-2], data[:, -2].astype(float), data[:, -1].astype(float)
     fit, rest = data[:, 0] == 0, data[:, 0] == 1
     model = boost(x[fit], hits[fit], counts[fit], rounds, rate)
-    return calibrated(model, x[rest], hits[rest], counts[rest], precision, least)
+    return calibrated(model, x[rest], hits[rest], counts[rest], precision)
+
+
+def clear_of(base: Column, chosen: Column) -> Column:
+    """The chosen candidates that overlap no base span, by start: one pass from either side."""
+    of_base = F.transform(base, lambda s: F.struct(*span(s), F.lit(None).cast("double").alias("loss")))
+
+    def forward(reached: Column, s: Column) -> tuple[Column, Column]:
+        """``reached``: the greatest end of the base spans so far."""
+        free = s["loss"].isNotNull() & (reached <= s["start"])
+        return F.when(s["loss"].isNull(), F.greatest(reached, s["end"])).otherwise(reached), F.struct(
+            *span(s), s["loss"].alias("loss"), free.alias("free")
+        )
+
+    def backward(next_: Column, s: Column) -> tuple[Column, Column]:
+        """``next_``: the start of the base span behind."""
+        free = s["free"] & (next_ >= s["end"])
+        return F.when(s["loss"].isNull(), s["start"]).otherwise(next_), F.struct(*span(s), s["loss"].alias("loss"), free.alias("free"))
+
+    item = "struct<start:int,kind:int,end:int,loss:double,free:boolean>"
+    # A base span stands before a candidate of the same start.
+    by_start = F.array_sort(
+        F.transform(
+            F.concat(of_base, chosen),
+            lambda s: F.struct(s["start"].alias("start"), s["loss"].isNotNull().alias("mine"), *span(s)[1:], s["loss"].alias("loss")),
+        )
+    )
+    one = scan(by_start, F.lit(0), forward, item)["out"]
+    two = scan(F.reverse(one), F.lit(2**31 - 1), backward, item)["out"]
+    return F.filter(F.reverse(two), lambda s: s["free"])
+
+
+def likelier(free: Column) -> Column:
+    """From left to right, of two candidates that overlap the one of less loss (then the earlier kind, then start)."""
+    kept = "struct<start:int,kind:int,end:int,loss:double>"
+    nothing = F.lit(None).cast(kept)
+
+    def plain(s: Column) -> Column:
+        return F.struct(*span(s), s["loss"].alias("loss"))
 
+    def rank(s: Column) -> Column:
+        return F.struct(s["loss"], s["kind"], s["start"])
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+    def step(held: Column, s: Column) -> tuple[Column, Column]:
+        apart = held.isNull() | (s["start"] >= held["end"])
+        return F.when(apart | (rank(s) < rank(held)), plain(s)).otherwise(held), F.when(apart, held)
+
+    done = scan(free, nothing, step, kept)
+    last = let(done, lambda d: F.concat(d["out"], F.array(d["carry"])))
+    return F.transform(F.filter(last, lambda s: s.isNotNull()), lambda s: F.struct(*span(s)))
 
 
 def annotate(docs: DataFrame, model: Boosted, text_col: str = "text") -> DataFrame:
     """The documents with ``base_spans`` and ``pii_spans`` (all): arrays of ``start, kind, end`` by start and kind."""
     kept = [c for c in docs.columns if c.lower() not in ("base_spans", "pii_spans")]
-    rows = examined(docs.select(*kept), text_col)
+    # Columns of their own: what is used several times below is computed once.
+    names = [spare_name(docs, "base"), spare_name(docs, "candidates")]
+    rows = docs.select(*kept, *(c.alias(n) for c, n in zip(examined(F.col(text_col)), names)))
+    base, proposed = (F.col(n) for n in names)
     if not any(t is not None for t in model.thresholds):
-        added = F.filter(F.col("_base"), lambda s: F.lit(False))
-    else:
-        limits = F.array(*(F.lit(float("inf") if t is None else t) for t in model.thresholds))
-        scored = F.transform(
-            F.coalesce("_candidates", F.array()),
-            lambda c: F.struct((-model.score(c["f"])).alias("loss"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")),
-        )
-        rows = rows.withColumn("_chosen", F.filter(scored, lambda c: -c["loss"] >= F.element_at(limits, c["kind"] + 1)))
-        rows = rows.withColumn(
-            "_chosen", F.filter("_chosen", lambda c: ~F.exists("_base", lambda s: overlap(c, s)))
-        )
-        likelier = F.filter(
-            "_chosen", lambda c: ~F.exists("_chosen", lambda o: overlap(c, o) & (F.struct(o["loss"], o["kind"], o["start"]) < F.struct(c["loss"], c["kind"], c["start"])))
-        )
-        added = F.transform(likelier, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return rows.withColumn("pii_spans", F.array_sort(F.concat("_base", added))).select(
-        *kept, F.col("_base").alias("base_spans"), "pii_spans"
-    )
+        return rows.select(*kept, base.alias("base_spans"), base.alias("pii_spans"))
+    limits = F.array(*(F.lit(float("inf") if t is None else t) for t in model.thresholds))
+    scored = F.transform(proposed, lambda c: F.struct(*span(c), (-model.score(c["f"])).alias("loss")))
+    chosen = F.filter(scored, lambda c: -c["loss"] >= F.element_at(limits, c["kind"] + 1))
+    added = let(chosen, lambda some: F.when(F.size(some) > 0, likelier(clear_of(base, some))))
+    spans = F.array_sort(F.concat(base, F.coalesce(added, F.array().cast(SPANS))))
+    return rows.select(*kept, base.alias("base_spans"), spans.alias("pii_spans"))
 
 
 def shown(spans: Column) -> Column:
