@@ -18,7 +18,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio_spark.llm import decontam, jaccard, langid, packing, pii
-from folio_spark.llm.common import shared_folder, written
+from folio_spark.llm.common import numbered, shared_folder, written
 from folio_spark.llm.queries import CAPACITY, END_ID, fold, word_tokenizer
 
 #: Share of a document's letters that its language has at least.
@@ -33,13 +33,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # One number per row, kept in a table: ids may be missing, repeated or shared by different texts.
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard.near_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    # Ids may be missing, repeated or shared by different texts, so rows are told apart by numbers.
+    rows, number = numbered(docs)
+    groups = jaccard.near_components(rows, id_col=number).select(F.col("doc_id").alias(number), "component_id")
     # A minimum combines before the shuffle, so a large component doesn't meet in one task.
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
-    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(number).alias("number"))
+    placed = written(rows.select(number, "doc_id").join(groups, number), "placed")
+    first = placed.groupBy("component_id").agg(F.min(order).alias("first"))
+    # Most components are single rows; only the rows to drop meet the texts again.
+    dropped = placed.join(first.select(F.col("first.number").alias(number)), number, "left_anti").select(number)
+    return rows.join(dropped, number, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
