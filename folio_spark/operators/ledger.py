@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .assemble import strip
 from .sequence import CHUNK, keys_of, page_chunk
-from .skew import join_by_chunk
+from .skew import join_by_chunk, salted_join
 
 IN_PROGRESS, COMPLETED, FAILED = "in_progress", "completed", "failed"
 STATE_PART = 1000
@@ -46,6 +46,24 @@ def drop_completed(ledger: DataFrame, states: DataFrame, book, page: str) -> Dat
     return join_by_chunk(ledger, done, keys_of(book), {"_chunk": page_chunk(page)}, "left_anti")
 
 
+def delete_books(ledger: DataFrame, named: DataFrame, book) -> tuple[DataFrame, DataFrame]:
+    """The ledger without the named books, and for each of them whether it was there: ``deleted, pages``.
+
+    Rows of a book combine into one before they meet the names, so a large book is no large task; a name
+    given twice is answered once. Null names no book.
+    """
+    keys = keys_of(book)
+    names = named.select(*keys).distinct()
+    held = ledger.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    answers = names.join(held, keys, "left").select(
+        *keys, F.col("_n").isNotNull().alias("deleted"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("pages")
+    )
+    found = held.join(names, keys, "left_semi").select(*keys, F.lit(True).alias("_gone"))
+    deal = next((c for c in ledger.columns[::-1] if c not in keys), keys[0])
+    kept = salted_join(ledger, found, keys, deal, "left").where("_gone IS NULL").drop("_gone")
+    return kept, answers
+
+
 def list_states(pages: DataFrame, book, page: str, failed: str, total: Column) -> DataFrame:
     """State of every book from its page rows: counters, frontier and status."""
     bad = F.coalesce(F.col(failed), F.lit(False))

@@ -94,23 +94,31 @@ def progress_summary(
     })
 
 
-def progress_display(summary: DataFrame, width: int = 50) -> DataFrame:
-    """Bar and text line of a progress summary."""
+def progress_display(summary: DataFrame, width: int = 50, *, verbose: bool = False) -> DataFrame:
+    """Bar and text line of a progress summary.
+
+    The verbose text also has the mean per page, the pages per minute and the failed pages, each only
+    where there is one.
+    """
     pct = F.col("progress_percentage")
     left = F.coalesce(format_duration(F.col("remaining_seconds")), F.lit("Calculating..."))
     head = F.concat(
         F.lit("Progress: "), F.col("current_page"), F.lit("/"), F.col("total_pages"),
         F.lit(" pages ("), one_decimal(pct), F.lit("%)"),
     )
-    return summary.withColumns({
-        "bar": progress_bar(pct, width),
-        "display": F.concat_ws(
-            "\n",
-            head,
-            F.concat(F.lit("Elapsed: "), format_duration(F.col("elapsed_seconds"))),
-            F.concat(F.lit("Remaining: "), left),
-        ),
-    })
+    lines = [
+        head,
+        F.concat(F.lit("Elapsed: "), format_duration(F.col("elapsed_seconds"))),
+        F.concat(F.lit("Remaining: "), left),
+    ]
+    if verbose:
+        mean = F.round(F.col("average_page_time"), 2).cast("decimal(38,2)").cast("string")
+        lines += [
+            F.concat(F.lit("Avg time per page: "), mean, F.lit("s")),
+            F.concat(F.lit("Pages per minute: "), one_decimal(F.col("pages_per_minute"))),
+            F.when(F.col("failed_pages_count") > 0, F.concat(F.lit("Failed pages: "), F.col("failed_pages_count"))),
+        ]
+    return summary.withColumns({"bar": progress_bar(pct, width), "display": F.concat_ws("\n", *lines)})
 
 
 def stage_report(metrics: DataFrame, stages: dict[str, str], by: list[str] | None = None) -> DataFrame:

@@ -100,11 +100,16 @@ def gauss_cte(name, source, size, sigma, index, u8=False):
 
 
 @query("grid_luma", """
-SELECT vec_id, round(0.299::DOUBLE * embedding[1]::DOUBLE + 0.587::DOUBLE * embedding[2]::DOUBLE + 0.114::DOUBLE * embedding[3]::DOUBLE, 6) AS v FROM embeddings
+SELECT vec_id AS gid, (n // 4)::INT AS y, (n % 4)::INT AS x, round(0.299::DOUBLE * embedding[4 * n + 1]::DOUBLE
+  + 0.587::DOUBLE * embedding[4 * n + 2]::DOUBLE + 0.114::DOUBLE * embedding[4 * n + 3]::DOUBLE, 6) AS v
+FROM embeddings, range(16) r(n)
 """)
 def grid_luma(t):
-    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    return t.embeddings.select("vec_id", F.round(luma(e(0), e(1), e(2)), 6).alias("v"))
+    """Every four numbers of a vector are a pixel of four channels, the last unused: a grid of 4 x 4."""
+    e = lambda i: F.get("embedding", 4 * F.col("n") + i).cast("double")
+    pixels = t.embeddings.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("n"))
+    place = [F.floor(F.col("n") / 4).cast("int").alias("y"), (F.col("n") % 4).alias("x")]
+    return pixels.select(F.col("vec_id").alias("gid"), *place, F.round(luma(e(0), e(1), e(2)), 6).alias("v"))
 
 
 @query("grid_median", f"WITH {VECTORS_SQL}, {SQUARE3}, " + window_sql("out", "g", "k", clamp, "median(s.v)") + OUT)

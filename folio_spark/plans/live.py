@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import select as S
 from ..session import scratch_path
 from ..streaming import live, watch
+from ..streaming.table import LedgerTable
 from ..streaming.tables import is_folder
 from .pages import clean_sql
 from .registry import query
@@ -81,9 +82,10 @@ def live_ledger(t):
     pages = streamed(t, "events").select(
         "user_id", F.hour("ts").cast("bigint").alias("page"), "event_id", F.col("event_type").alias("status")
     )
-    sink = live.LedgerSink(f"{root}/ledger", "user_id", "page", ["event_id"])
-    sink.start(pages, f"{root}/checkpoint").awaitTermination()
-    return sink.current(t.spark)
+    ledger = LedgerTable(f"{root}/ledger", pages.schema, "user_id", "page", ["event_id"])
+    ledger.start(pages, f"{root}/checkpoint").awaitTermination()
+    ledger.compact(t.spark)
+    return ledger.current(t.spark)
 
 
 @query("live_first_delivery", "SELECT user_id, event_id, event_type FROM events")

@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..operators import assemble as A
 from ..operators import quality as V
 from ..operators import select as S
+from ..session import scratch_path
+from ..sources import books as B
 from ..sources import sinks as K
 from .registry import query
 from .sources import LINES_SQL, lines
@@ -136,17 +138,21 @@ def bbox_polygon(t):
 
 
 @query("bbox_corners", """
-WITH c AS (SELECT vec_id, label, trunc(embedding[1]::DOUBLE * 100)::INT AS x1, embedding[1]::DOUBLE * 100 AS fx1, embedding[2]::DOUBLE * 100 AS fy1,
-   embedding[3]::DOUBLE * 100 AS fx2, embedding[4]::DOUBLE * 100 AS fy2, label % 3 = 0 AS gone FROM embeddings)
-SELECT vec_id, CASE WHEN gone THEN 0 ELSE trunc(fx1) END::INT AS "left", CASE WHEN gone THEN label * 30 ELSE trunc(fy1) END::INT AS top,
+WITH c AS (SELECT vec_id, label + n AS label, n::INT AS n, embedding[4 * n + 1]::DOUBLE * 100 AS fx1, embedding[4 * n + 2]::DOUBLE * 100 AS fy1,
+   embedding[4 * n + 3]::DOUBLE * 100 AS fx2, embedding[4 * n + 4]::DOUBLE * 100 AS fy2, (label + n) % 3 = 0 AS gone
+   FROM embeddings, range(16) r(n))
+SELECT vec_id, n, CASE WHEN gone THEN 0 ELSE trunc(fx1) END::INT AS "left", CASE WHEN gone THEN label * 30 ELSE trunc(fy1) END::INT AS top,
   CASE WHEN gone THEN 800 ELSE trunc(fx2 - fx1) END::INT AS width, CASE WHEN gone THEN 30 ELSE trunc(fy2 - fy1) END::INT AS height
 FROM c
 """)
 def bbox_corners(t):
-    scaled = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 100)
-    corners = F.when(F.col("label") % 3 == 0, F.lit(None)).otherwise(scaled)
-    box = S.bbox_from_corners(corners, F.col("label"), F.lit(1.0))
-    return t.embeddings.select("vec_id", box.alias("b")).select("vec_id", "b.left", "b.top", "b.width", "b.height")
+    """Every four numbers of a vector are the corners of a box; of every third box they are missing."""
+    numbers = F.transform("embedding", lambda v: v.cast("double") * 100)
+    fours = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: F.slice(numbers, 4 * n + 1, F.lit(4)))
+    boxes = t.embeddings.select("vec_id", "label", F.posexplode(fours).alias("n", "corners"))
+    label = (F.col("label") + F.col("n")).cast("bigint")
+    box = S.bbox_from_corners(F.when(label % 3 != 0, F.col("corners")), label, F.lit(1.0))
+    return boxes.select("vec_id", "n", box.alias("b")).select("vec_id", "n", "b.left", "b.top", "b.width", "b.height")
 
 
 @query("region", """
@@ -245,3 +251,21 @@ def nested_text(t):
     words = lambda line: F.transform(F.split(line, " "), lambda w: F.split(w, ""))
     blocks = F.transform(F.split("text", "\n"), lambda line: F.array(words(line)))
     return t.spread("documents").select("doc_id", A.nested_text(blocks).alias("text"))
+
+
+@query("book_files", """
+WITH d AS (SELECT conv_id, chr(65279) || replace('---' || chr(10) || 'Title: conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10)
+  || string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn), chr(10), chr(13) || chr(10)) AS t
+  FROM conversations GROUP BY conv_id)
+SELECT conv_id, octet_length(encode(t)) AS bytes, sha256(t) AS digest FROM d
+""")
+def book_files(t):
+    """One file per conversation with byte order mark and Windows line ends, and its bytes read back."""
+    folder = scratch_path(t.spark, "book-files")
+    head = F.create_map(F.lit("Title"), F.concat(F.lit("conversation "), F.col("conv_id")))
+    B.write_books(t.conversations, folder, "conv_id", "turn", "text", metadata=head, bom=True, newline="\r\n")
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    name = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
+    return files.select(
+        name.cast("bigint").alias("conv_id"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest")
+    )

@@ -142,14 +142,17 @@ DURATION_SQL = """CASE WHEN {s} >= 3600 THEN (({s}) // 3600) || 'h ' || ((({s})
 
 
 @query("progress_display", SUMMARY_SQL + f"""
-, whole AS (SELECT user_id, current_page, total_pages, pct, floor(round(elapsed, 3))::BIGINT AS el, floor(round(eta, 3))::BIGINT AS re
-  FROM summary)
+, whole AS (SELECT user_id, current_page, total_pages, pct, floor(round(elapsed, 3))::BIGINT AS el, floor(round(eta, 3))::BIGINT AS re,
+  round(mean, 6) AS mean, round(CASE WHEN mean <> 0 THEN 60.0 / mean END, 6) AS rate, failed_pages_count FROM summary)
 SELECT user_id,
   '[' || repeat('█', floor(50 * pct / 100.0)::INT) || repeat('░', 50 - floor(50 * pct / 100.0)::INT) || '] '
      || (round(pct, 1)::DECIMAL(38,1)) || '%' AS bar,
   'Progress: ' || current_page || '/' || total_pages || ' pages (' || (round(pct, 1)::DECIMAL(38,1)) || '%)' || chr(10)
   || 'Elapsed: ' || {DURATION_SQL.format(s='el')} || chr(10)
-  || 'Remaining: ' || coalesce({DURATION_SQL.format(s='re')}, 'Calculating...') AS display
+  || 'Remaining: ' || coalesce({DURATION_SQL.format(s='re')}, 'Calculating...')
+  || CASE WHEN mean IS NULL THEN '' ELSE chr(10) || 'Avg time per page: ' || (round(mean, 2)::DECIMAL(38,2)) || 's' END
+  || CASE WHEN rate IS NULL THEN '' ELSE chr(10) || 'Pages per minute: ' || (round(rate, 1)::DECIMAL(38,1)) END
+  || CASE WHEN failed_pages_count > 0 THEN chr(10) || 'Failed pages: ' || failed_pages_count ELSE '' END AS display
 FROM whole
 """)
 def progress_display(t):
@@ -157,7 +160,8 @@ def progress_display(t):
         ledger(t), "user_id", "page", "ts", "failed", F.lit(PAGES_PER_BOOK).cast("bigint")
     )
     out = out.withColumns({c: F.round(c, 3) for c in ("elapsed_seconds", "remaining_seconds")})
-    return P.progress_display(out).select("user_id", "bar", "display")
+    out = out.withColumns({c: F.round(c, 6) for c in ("average_page_time", "pages_per_minute")})
+    return P.progress_display(out, verbose=True).select("user_id", "bar", "display")
 
 
 @query("since_restart", """
@@ -221,6 +225,18 @@ def ledger_cleanup(t):
     return L.drop_completed(ledger(t), states(t), "user_id", "page").select("user_id", "page", "failed")
 
 
+@query("delete_states", """
+WITH named AS (SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT n.user_id, count(e.event_id) > 0 AS deleted, count(e.event_id) AS pages
+FROM named n LEFT JOIN events e USING (user_id) GROUP BY n.user_id
+""")
+def delete_states(t):
+    """The answer for every named book; what is left is checked by the tests."""
+    named = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    _, answers = L.delete_books(t.events.select("user_id", "event_id"), named, "user_id")
+    return answers
+
+
 @query("can_resume", STATES_SQL + """
 SELECT user_id, current_page, total_pages FROM states WHERE status = 'in_progress' AND current_page < total_pages
 """)
