@@ -40,9 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(number).alias("number"))
     placed = written(rows.select(number, "doc_id").join(groups, number), "placed")
     first = placed.groupBy("component_id").agg(F.min(order).alias("first"))
-    # Most components are single rows; only the rows to drop meet the texts again.
+    # Most components are single rows; only the rows to drop meet the texts again. Their number grows with the
+    # table, so they are merged at every size and never broadcast.
     dropped = placed.join(first.select(F.col("first.number").alias(number)), number, "left_anti").select(number)
-    return rows.join(dropped, number, "left_anti").select(*docs.columns)
+    return rows.join(dropped.hint("merge"), number, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
