@@ -64,11 +64,15 @@ def delete_books(ledger: DataFrame, named: DataFrame, book) -> tuple[DataFrame,
     return kept, answers
 
 
-def list_states(pages: DataFrame, book, page: str, failed: str, total: Column) -> DataFrame:
-    """State of every book from its page rows: counters, frontier and status."""
+def list_states(pages: DataFrame, book, page: str | None, failed: str, total: Column) -> DataFrame:
+    """State of every book from its page rows: counters, frontier and status.
+
+    Without a page column the rows are a book's pages from 1 on, so the frontier is their number.
+    """
     bad = F.coalesce(F.col(failed), F.lit(False))
+    frontier = F.count(F.lit(1)) if page is None else F.max(page)
     states = pages.groupBy(*keys_of(book)).agg(
-        F.max(page).alias("current_page"),
+        frontier.alias("current_page"),
         F.count_if(~bad).alias("processed"),
         F.count_if(bad).alias("failed"),
         total.alias("total_pages"),

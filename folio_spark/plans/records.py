@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import records as R
+from ..functions.binding import let
 from ..operators import progress as P
 from ..operators.assemble import assemble_pages
 from ..operators.sequence import page_chunk
@@ -97,6 +98,10 @@ ISSUE_SQL = """WITH i AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTI
 """
 
 
+#: Order keys of one report: a customer with more orders gets several, each of bounded length.
+ORDER_SPAN = 100_000
+
+
 @query("md_report", ISSUE_SQL + """
 SELECT o_custkey, '### 📊 Summary' || chr(10) || chr(10) || '- **Total Issues**: ' || count(*) || chr(10)
   || '- 🔴 High Severity: ' || count(*) FILTER (s = 'high') || chr(10) || '- 🟡 Medium Severity: ' || count(*) FILTER (s = 'medium') || chr(10)
@@ -107,7 +112,7 @@ SELECT o_custkey, '### 📊 Summary' || chr(10) || chr(10) || '- **Total Issues*
      || chr(10)||chr(10) || '**Severity**: ' || upper(s[1]) || s[2:] || chr(10)||chr(10) || '**Category**: ' || c
      || chr(10)||chr(10) || '**Description**: status ' || c || CASE WHEN s = 'high' THEN chr(10)||chr(10) || '**Suggestion**: ship first' ELSE '' END
      || chr(10)||chr(10) || '---', chr(10)||chr(10) ORDER BY o_orderkey) AS report
-FROM i GROUP BY o_custkey, o_orderkey // 100000000
+FROM i GROUP BY o_custkey, o_orderkey // 100000
 """)
 def md_report(t):
     """One report per customer, its orders as issues, numbered by order key.
@@ -123,9 +128,55 @@ def md_report(t):
         F.when(severity == "high", F.lit("ship first")),
     )
     issues = t.orders.select("o_custkey", "o_orderkey", section.alias("section"), severity.alias("severity"))
-    body = assemble_pages(issues, "o_custkey", "o_orderkey", "section", sep="\n\n", part_pages=100_000_000)
-    parts = issues.withColumn("part", page_chunk("o_orderkey", 100_000_000))
+    body = assemble_pages(issues, "o_custkey", "o_orderkey", "section", sep="\n\n", part_pages=ORDER_SPAN)
+    parts = issues.withColumn("part", page_chunk("o_orderkey", ORDER_SPAN))
     counts = P.severity_counts(parts, F.col("severity"), ["o_custkey", "part"])
     head = R.summary_section(*[F.col(c) for c in ("total_issues", "high_severity", "medium_severity", "low_severity")])
     report = F.concat(head, F.lit("\n\n### 🔍 Findings\n\n"), F.col("text"))
     return body.join(counts, ["o_custkey", "part"]).select("o_custkey", report.alias("report"))
+
+
+@query("review_report", """
+WITH i AS (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_linenumber, l_partkey, l_suppkey,
+    floor(l_quantity)::BIGINT AS q, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS s,
+    CASE l_linestatus WHEN 'F' THEN 'bug' ELSE 'performance' END AS c FROM lineitem)
+SELECT l_orderkey, '### 📊 Summary' || chr(10) || chr(10) || '- **Total Issues**: ' || count(*) || chr(10)
+  || '- 🔴 High Severity: ' || count(*) FILTER (s = 'high') || chr(10) || '- 🟡 Medium Severity: ' || count(*) FILTER (s = 'medium') || chr(10)
+  || '- 🔵 Low Severity: ' || count(*) FILTER (s = 'low') || chr(10) || chr(10) || '### 🔍 Findings' || chr(10) || chr(10)
+  || string_agg('#### ' || n || '. ' || CASE s WHEN 'high' THEN '🔴' WHEN 'medium' THEN '🟡' ELSE '🔵' END || ' '
+     || CASE c WHEN 'bug' THEN '🐛' ELSE '⚡' END || ' Part ' || l_partkey
+     || chr(10)||chr(10) || '**File**: `supplier-' || l_suppkey || '`'
+     || CASE WHEN l_linenumber % 2 = 0 THEN chr(10)||chr(10) || '**Line**: ' || l_linenumber ELSE '' END
+     || chr(10)||chr(10) || '**Severity**: ' || upper(s[1]) || s[2:] || chr(10)||chr(10) || '**Category**: ' || c
+     || chr(10)||chr(10) || '**Description**: "quantity" ' || q || CASE WHEN s = 'high' THEN chr(10)||chr(10) || '**Suggestion**: return it' ELSE '' END
+     || chr(10)||chr(10) || '---', chr(10)||chr(10) ORDER BY n)
+  || CASE WHEN count(*) > 3 THEN chr(10)||chr(10) || '### 💬 Overall Assessment' || chr(10)||chr(10) || 'many lines' ELSE '' END AS report
+FROM i GROUP BY l_orderkey
+""")
+def review_report(t):
+    """One review per order, its lines as issues: written as a fenced JSON record, parsed again and shown as Markdown."""
+    high, low = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
+    severity = F.when(high, "high").when(F.col("l_returnflag") == "A", "medium").otherwise("low")
+    line = F.col("l_linenumber")
+    issue = F.struct(
+        F.concat(F.lit("supplier-"), F.col("l_suppkey")).alias("file"),
+        F.when(line % 2 == 0, line.cast("string")).alias("line_range"),
+        severity.alias("severity"),
+        F.when(low, "bug").otherwise("performance").alias("category"),
+        F.concat(F.lit("Part "), F.col("l_partkey")).alias("title"),
+        F.concat(F.lit('"quantity" '), F.floor("l_quantity")).alias("description"),
+        F.when(high, "return it").alias("suggestion"),
+    )
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", issue.alias("issue"))))
+    # An order has a handful of lines.
+    orders = P.severity_counts(t.lineitem, severity, ["l_orderkey"]).join(
+        t.lineitem.groupBy("l_orderkey").agg(lines.alias("lines")), "l_orderkey"
+    )
+    record = F.struct(
+        F.struct("total_issues", "high_severity", "medium_severity", "low_severity").alias("summary"),
+        F.transform("lines", lambda x: x["issue"]).alias("issues"),
+        F.when(F.col("total_issues") > 3, "many lines").otherwise("").alias("overall_comment"),
+    )
+    text = F.concat(F.lit("```json\n"), F.to_json(record), F.lit("\n```"))
+    return orders.select("l_orderkey", let(R.review_record(text), R.review_markdown).alias("report"))

@@ -21,9 +21,10 @@ STATES_SQL = LEDGER_SQL + f"""
 
 
 def states(t):
-    """Ledger pages need no numbers here: a book's frontier is its page count."""
+    """Pages need no numbers here: a book's frontier is its page count."""
     total = F.lit(PAGES_PER_BOOK).cast("bigint")
-    return L.list_states(ledger(t), "user_id", "page", "failed", total)
+    pages = t.events.select("user_id", (F.col("event_type") == "error").alias("failed"))
+    return L.list_states(pages, "user_id", None, "failed", total)
 
 
 @query("page_numbers", LEDGER_SQL + "SELECT user_id, event_id, page FROM ledger")

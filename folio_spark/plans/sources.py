@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sequence import number_pages, time_chunk
+from ..operators.numbering import number_by_range
 from .registry import Tables
 
 # The same stand-ins as SQL, to be put in front of a checking query.
@@ -28,7 +28,7 @@ PAGES_PER_BOOK = 70
 def ledger(tables: Tables) -> DataFrame:
     """Events as a run ledger: one book per user, pages in time order."""
     events = tables.events.select("user_id", "event_id", "ts", "event_type", "value")
-    numbered = number_pages(events, "user_id", ["ts", "event_id"], time_chunk("ts"))
+    numbered = number_by_range(events, "user_id", ["ts", "event_id"])
     return numbered.withColumn("failed", F.col("event_type") == "error")
 
 
