@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages", "sequences", "texts", "records", "extraction", "grids", "similarity", "live"]
+MODULES = ["pages", "sequences", "texts", "records", "extraction", "grids", "similarity", "values", "live"]
 
 
 def load_all() -> None:
