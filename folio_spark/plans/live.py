@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import select as S
 from ..session import scratch_path
 from ..streaming import live, watch
+from ..streaming.first import FirstDeliveries
 from ..streaming.table import LedgerTable
 from ..streaming.tables import is_folder
 from .pages import clean_sql
@@ -88,17 +89,18 @@ def live_ledger(t):
     return ledger.current(t.spark)
 
 
-@query("live_first_delivery", "SELECT user_id, event_id, event_type FROM events")
+@query("live_first_delivery", "SELECT user_id, event_id, ts, event_type FROM events")
 def live_first_delivery(t):
     """Every event is delivered twice, in files out of time order and over several batches, and kept once."""
     root = scratch_path(t.spark, "live-repeats")
     twice = t.events.select(
-        "user_id", "event_id", "event_type",
+        "user_id", "event_id", "ts", "event_type",
         F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"), F.pmod("event_id", F.lit(4)).alias("slice"),
     )
     twice.write.partitionBy("delivery", "slice").parquet(f"{root}/deliveries")
     files = t.spark.read.parquet(f"{root}/deliveries").schema
     delivered = live.read_pages(t.spark, f"{root}/deliveries", files, files_per_batch=FILES_PER_BATCH)
-    once = live.drop_repeats(delivered, ["user_id", "event_id"]).select("user_id", "event_id", "event_type")
-    live.append_pages(once, f"{root}/pages", f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/pages")
+    pages = delivered.select("user_id", "event_id", "ts", "event_type")
+    once = FirstDeliveries(f"{root}/pages", pages.schema, ["user_id", "event_id"], "ts")
+    once.start(pages, f"{root}/checkpoint").awaitTermination()
+    return once.pages(t.spark)
