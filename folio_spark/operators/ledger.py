@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .assemble import strip
-from .sequence import CHUNK, keys_of, page_chunk
-from .skew import join_by_chunk, salted_join
+from .sequence import BOOK_SALTS, CHUNK, keys_of, page_chunk
+from .skew import salted_join
 
 IN_PROGRESS, COMPLETED, FAILED = "in_progress", "completed", "failed"
 STATE_PART = 1000
@@ -43,7 +43,7 @@ def latest_state(attempts: DataFrame, book, order: list[str]) -> DataFrame:
 def drop_completed(ledger: DataFrame, states: DataFrame, book, page: str) -> DataFrame:
     """Ledger rows of the books that are not completed yet."""
     done = states.filter(F.col("status") == COMPLETED).select(*keys_of(book))
-    return join_by_chunk(ledger, done, keys_of(book), {"_chunk": page_chunk(page)}, "left_anti")
+    return salted_join(ledger, done, keys_of(book), page_chunk(page), "left_anti", salts=BOOK_SALTS)
 
 
 def delete_books(ledger: DataFrame, named: DataFrame, book) -> tuple[DataFrame, DataFrame]:

@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import join_by_chunk
+from .skew import salted_join
 
 CHUNK = 4096
+#: Tasks that a book's chunks are dealt to where its one row (a cut, a restart) meets its pages.
+BOOK_SALTS = 32
 _CHUNK, _OWN = "_chunk", "_own"
 
 
@@ -184,7 +186,7 @@ def cut_after(
 ) -> DataFrame:
     """Drop the pages behind each book's cut; books without a cut stay whole."""
     bound = F.col(page) <= F.col(cut) if inclusive else F.col(page) < F.col(cut)
-    joined = join_by_chunk(df, cuts, keys_of(book), {_CHUNK: page_chunk(page, width)}, "left")
+    joined = salted_join(df, cuts, keys_of(book), page_chunk(page, width), "left", salts=BOOK_SALTS)
     return joined.filter(F.col(cut).isNull() | bound).drop(cut)
 
 
@@ -358,7 +360,7 @@ def pages_since_restart(
     last = (
         df.filter(restart).groupBy(*keys).agg(F.max(F.struct(*order)).alias("_restart"))
     )
-    kept = join_by_chunk(df, last, keys, {_CHUNK: chunk}, "left")
+    kept = salted_join(df, last, keys, chunk, "left", salts=BOOK_SALTS)
     return kept.filter(
         F.col("_restart").isNull() | (F.struct(*order) >= F.col("_restart"))
     ).drop("_restart")

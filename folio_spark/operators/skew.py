@@ -26,12 +26,12 @@ def join_by_chunk(
 
 
 def salted_join(
-    rows: DataFrame, per_key: DataFrame, key: str | list[str], deal: str, how: str = "inner", salts: int = 16
+    rows: DataFrame, per_key: DataFrame, key: str | list[str], deal: str | Column, how: str = "inner", salts: int = 16
 ) -> DataFrame:
     """Join rows to a table with one row per key, each key's rows dealt to ``salts`` tasks by ``deal``.
 
     Unlike ``join_by_chunk`` the rows are read once. The table is repeated, so it should have far fewer
-    rows than the other side; ``deal`` is a column that differs among the rows of a key.
+    and narrow rows; ``deal`` differs among the rows of a key. Adaptive skew joins split what is still large.
     """
     keys = [key] if isinstance(key, str) else key
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
