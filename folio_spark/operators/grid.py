@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from .skew import join_by_chunk
+from .skew import join_by_chunk, salted_join
 
 CELL = ["gid", "h", "w", "y", "x"]
 REFLECT, REPLICATE, NEUTRAL = "reflect", "replicate", "neutral"
@@ -677,22 +677,20 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
     return turned.unionByName(still.select(*CELL, as_u8(F.col("v"), u8).alias("v")))
 
 
-MAX_WEIGHT_ROWS = 100_000
+WEIGHT_SALTS = 64
 
 
 def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
     """Perceptual signature: low frequencies of the shrunk grid, one bit above their median.
 
     Shrinking and the cosine transform are linear along an axis, so both are
-    folded into one weight table per occurring size. That table has one row per
-    line of each occurring size; it is broadcast only after counting those.
+    folded into one weight table per occurring size, with one row per line.
     ``signature`` is an ``array<bigint>`` of 64-bit words, lowest coefficient in
     the lowest bit.
     """
     side = hash_size * factor
     grid = sized(grid)
     sizes_seen = grid.select("h", "w").distinct()
-    weight_rows = sizes_seen.agg(F.sum(F.col("h") + F.col("w"))).first()[0] or 0
     for axis, size in (("y", "h"), ("x", "w")):
         other = "x" if axis == "y" else "y"
         sizes = sizes_seen.select(F.col(size).alias("_n")).distinct()
@@ -709,8 +707,8 @@ def phash(grid: DataFrame, hash_size: int = 16, factor: int = 4) -> DataFrame:
         folded = table.groupBy(F.col("_n").alias(size), F.col("_i").alias(axis)).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("k", "wt"))), lambda s: s["wt"]).alias("_wave")
         )
-        folded = F.broadcast(folded) if weight_rows <= MAX_WEIGHT_ROWS else folded
-        sent = grid.join(folded, [size, axis]).select(
+        # All grids may be of one size, so a line of weights is met in shares of the grids.
+        sent = salted_join(grid, folded, [size, axis], "gid", salts=WEIGHT_SALTS).select(
             "gid", "h", "w", other, "v", F.posexplode("_wave").alias("_k", "_wt")
         )
         grid = sent.groupBy("gid", "h", "w", other, F.col("_k").alias(axis)).agg(
