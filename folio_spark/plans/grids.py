@@ -456,6 +456,37 @@ def similar_pages(t):
     return Q.similar_pages(left.join(right, "page"), "a", "b", threshold=28, bits=64).drop("a", "b")
 
 
+def chain_sql():
+    """The steps of ``grid_chain`` one after the other, each on the table that the step before it leaves."""
+    # Median of the activity grids, as ``g``; the tiled equalisation of ``g``, as ``eq``.
+    raw = ACTIVITY_SQL.replace("g AS (SELECT gid, y::INT", "g0 AS (SELECT gid, y::INT")
+    median = f"{SQUARE3}, " + window_sql("g", "g0", "k", clamp, "median(s.v)")
+    tables, last = CLAHE_SQL.rsplit("SELECT t.gid, t.y, t.x, ", 1)
+    equalised = tables.rstrip() + ", eq AS (SELECT t.gid, 31 AS h, 24 AS w, t.y, t.x, " + last.rstrip() + ")"
+    bright = ", b AS (SELECT gid, h, w, y, x, CASE WHEN v > 110 THEN 255.0 ELSE 0.0 END AS v FROM eq), " + ", ".join([
+        extreme_cte("a1", "b", "max", 2, 2), extreme_cte("a2", "a1", "min", 2, 2),
+        extreme_cte("a3", "a2", "min", 2, 2), extreme_cte("a4", "a3", "max", 2, 2),
+    ]) + ", m AS (SELECT * FROM a4 WHERE v > 0)"
+    trimmed = """
+, boxes AS (SELECT gid, label, count(*) AS area, greatest(0, min(y) - 1) AS y0, least(31, max(y) + 2) AS y1,
+    greatest(0, min(x) - 1) AS x0, least(24, max(x) + 2) AS x1 FROM region GROUP BY gid, label),
+largest AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY area DESC, label) AS rn FROM boxes),
+used AS (SELECT * FROM largest WHERE rn = 1 AND NOT (x1 - x0 > 24 * 0.95 AND y1 - y0 > 31 * 0.95)),
+cut_ AS (SELECT e.gid, (y - coalesce(y0, 0))::INT AS y, (x - coalesce(x0, 0))::INT AS x, v FROM eq e LEFT JOIN used u ON e.gid = u.gid
+  WHERE u.gid IS NULL OR (y >= y0 AND y < y1 AND x >= x0 AND x < x1))"""
+    level = OTSU_SQL.replace("gid, v FROM g)", "gid, v FROM cut_)").replace("levels l JOIN g USING", "levels l JOIN cut_ g USING")
+    return f"WITH RECURSIVE {raw}, {median}{equalised}{bright}{REACH_SQL}{trimmed}{level}" + """
+SELECT c.gid, y, x, CASE WHEN v > level THEN 255.0 ELSE 0.0 END::DOUBLE AS v FROM cut_ c JOIN best ON c.gid = best.gid AND best.rn = 1
+"""
+
+
+@query("grid_chain", chain_sql())
+def grid_chain(t):
+    """The default chain without turning: median, tiled equalisation, trimming to the content, Otsu's cut."""
+    options = P.preset("default", tiles=(4, 4), deskew=None, margin_threshold=160, trim_kernel=(2, 2), trim_pad=1)
+    return shown(P.prepare(activity(t), options))
+
+
 @query("grid_prepare")
 def grid_prepare(t):
     options = P.preset(

@@ -7,10 +7,9 @@ import __spark_entry__ as entry
 from folio_spark.plans.registry import ORACLES as SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"grid_prepare"}
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     rows, problem = compare(spark, name, QUERIES[name], SQL.get(name), FOLDER)
     assert problem is None
