@@ -7,29 +7,45 @@
 4. ``personal_data`` replaces personal data in the texts and counts their characters anew;
 5. ``packing`` packs what is left into sequences and returns its pieces.
 
-All stages but the last return the columns of ``documents``. SQL cannot express the learned stages, so
+All stages but the last return the columns of ``documents``, also those that have the name of an operator's result.
+SQL cannot express the learned stages, so
 ``ORACLE_SQL`` is None and the tests compare with a brute-force version.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio_spark.llm import decontam, jaccard, langid, packing, pii
-from folio_spark.llm.common import numbered, shared_folder, written
+from folio_spark.llm.common import numbered, shared_folder, spare_name, written
 from folio_spark.llm.queries import CAPACITY, END_ID, fold, word_tokenizer
 
 #: Share of a document's letters that its language has at least.
 LEAST_SHARE = 0.5
 
 
+def kept_apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The needed columns beside one that holds all others, and a function that brings them back.
+
+    An operator replaces columns that have the name of a result; a document's own columns of such names stay.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    if not others:
+        return docs, lambda made: made.select(*docs.columns)
+    held = spare_name(docs, "others")
+    rows = docs.select(*needed, F.struct(*others).alias(held))
+    columns = [F.col(c) if c in needed else F.col(held)[c].alias(c) for c in docs.columns]
+    return rows, lambda made: made.select(*columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.learn(docs, fold(F.col("doc_id"), 4) != 2)
-    # The label and its share stand in columns of their own beside the documents' ``lang``.
-    judged = langid.label(docs, model, spans=False)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    rows, restored = kept_apart(docs, "doc_id", "text", "lang")
+    model = langid.learn(rows, fold(F.col("doc_id"), 4) != 2)
+    judged = langid.label(rows, model, spans=False)
+    return restored(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +64,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return decontam.find_contamination(docs, items).where("n_hit = 0").select(*docs.columns)
+    rows, restored = kept_apart(docs, "doc_id", "text")
+    return restored(decontam.find_contamination(rows, items).where("n_hit = 0"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spans = pii.annotate(docs, pii.learn(docs))
+    rows, restored = kept_apart(docs, "doc_id", "text", "n_chars")
+    spans = pii.annotate(rows, pii.learn(rows))
     text = pii.redacted(F.col("text"), F.col("pii_spans"))
-    return (
-        spans.withColumn("text", text)
-        .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        .select(*docs.columns)
+    return restored(
+        spans.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     )
 
 
