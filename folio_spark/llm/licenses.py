@@ -121,6 +121,7 @@ class Template:
     missing: int  # words that a match may miss
     slop: int
     phrase: bool
+    order: np.ndarray | None = None  # places in the template by falling IDF
 
 
 class Templates:
@@ -140,6 +141,7 @@ class Templates:
             missing = len(own) - math.ceil(share * len(own) - 1e-9)
             self.all.append(Template(label, own, [self.numbers(k) for k in keys], missing, slop, False))
         self.idf = np.ones(len(self.words))
+        self.rank()
 
     def numbers(self, text: str) -> np.ndarray:
         found = [self.words.setdefault(w, len(self.words)) for w in words_of(text.encode())]
@@ -149,8 +151,13 @@ class Templates:
         """Sets the IDF from the number of documents, and of those that hold each word."""
         held = np.array([counts.get(i, 0) for i in range(len(self.words))], "f8")
         self.idf = np.log((documents + 1) / (held + 1)) + 1
+        self.rank()
         return self
 
+    def rank(self) -> None:
+        for template in self.all:
+            template.order = np.argsort(-self.idf[template.words], kind="stable")
+
 
 def numbered(text: bytes, words: dict[bytes, int]) -> np.ndarray:
     """The number of each word of a text, -1 for words of no template."""
@@ -190,11 +197,13 @@ class File:
 
     def starts(self, template: Template, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the template's matches, and the share of its IDF that each holds."""
-        order = np.argsort(-idf[template.words], kind="stable")
-        proposed = [np.zeros(0, "i8")]
-        for offset in order[: template.missing + 1]:
-            own = self.places(template.words[offset]) - offset
-            proposed += [own + shift for shift in range(-template.slop, template.slop + 1)]
+        proposed = []
+        for offset in template.order[: template.missing + 1].tolist():
+            own = self.places(template.words[offset])
+            if len(own):
+                proposed += [own + (shift - offset) for shift in range(-template.slop, template.slop + 1)]
+        if not proposed:
+            return np.zeros(0, "i8"), np.zeros(0)
         every = np.unique(np.concatenate(proposed))
         # A match may begin before the text by as many words as it may miss.
         every = every[(every >= -template.missing) & (every + len(template.words) <= len(self.ids) + template.missing)]
@@ -202,7 +211,7 @@ class File:
         for begin in range(0, len(every), STARTS):
             start = every[begin : begin + STARTS]
             missed, weight = np.zeros(len(start), "i4"), np.zeros(len(start))
-            for offset in order:
+            for offset in template.order.tolist():
                 word = template.words[offset]
                 here = self.at(start + offset, word, template.slop)
                 weight += here * idf[word]

@@ -2,6 +2,7 @@
 
 import pytest
 from harness import compare
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -35,6 +36,9 @@ def test_pipeline(spark):
     from llm.test_operators import ITEMS, brute_components, brute_contamination, brute_spans, ids_of  # noqa: F401
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    # Columns of the documents' own that have the names of results stay as they are.
+    own = ["score", "lang_pred", "hits", "n_hit", "base_spans", "_row", "_others", "_found"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in own})
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     kept, folder = docs, None
     for name, stage in corpus_pipeline.STAGES[:4]:
@@ -42,6 +46,7 @@ def test_pipeline(spark):
         kept = stage(spark, kept, FOLDER).persist()
         after = {r.doc_id: r for r in kept.collect()}
         assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        assert all(r[c] == f"{c} {i}" for i, r in after.items() for c in own)
         if name == "language_id":
             assert all(any(c.isalpha() for c in r.text) for r in after.values())
         if name == "near_duplicates":
