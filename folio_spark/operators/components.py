@@ -2,51 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settled
 from .grid import CELL, binarize, join_per_grid, morphology, sized, thin_edges
 
-SPAN = 4096
+SPAN = 256
 
 # Fixed values of margin trimming.
 TRIM_MARGIN, TRIM_SLACK, TRIM_KERNEL, TRIM_PAD, TRIM_FULL = 240, 50, (10, 10), 10, 0.95
 
 
-def cell_runs(cells: DataFrame, span: int = SPAN) -> DataFrame:
-    """Give every cell the id of its horizontal run; runs end at every ``span`` columns.
+def block_labels(cells: DataFrame, span: int = SPAN) -> DataFrame:
+    """Add ``block``, the row and column of the cell's square block, and ``id``, the number of the first cell
+    of its region within that block.
 
-    Windows cover one row's span, so they stay bounded on grids of any width.
+    A block is at most ``span`` x ``span`` cells, so a task holds little on grids of any size.
     """
-    w = Window.partitionBy("gid", "y", F.floor(F.col("x") / span)).orderBy("x")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.coalesce(F.col("x") != F.lag("x").over(w) + 1, F.lit(True))
-    start = F.max(F.when(F.col("_begins"), F.col("x"))).over(upto)
-    number = F.col("y").cast("bigint") * F.col("w") + start
-    return cells.withColumn("_begins", begins).withColumn("run", number).drop("_begins")
-
-
-def run_links(runs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Pairs of touching runs (eight neighbours), both ways.
-
-    Cells send their run id to the next row and across span borders; a cell that
-    receives one links the two runs. Nothing is paired beyond touching runs.
+    blocks = cells.withColumns({
+        "_by": F.floor(F.col("y") / span).cast("int"), "_bx": F.floor(F.col("x") / span).cast("int"),
+        "id": F.col("y").cast("bigint") * F.col("w") + F.col("x"),
+    })
+
+    def label(block: pa.Table) -> pa.Table:
+        least = least_neighbours(np.array(block["y"]), np.array(block["x"]), np.array(block["id"]))
+        return block.set_column(block.schema.get_field_index("id"), "id", pa.array(least, pa.int64()))
+
+    found = blocks.groupBy("gid", "_by", "_bx").applyInArrow(label, blocks.schema)
+    return found.withColumn("block", F.struct("_by", "_bx")).drop("_by", "_bx")
+
+
+def least_neighbours(y: np.ndarray, x: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The least number of each cell's region (eight neighbours), for the cells of one block."""
+    y, x = y.astype("i8") - y.min(), x.astype("i8") - x.min()
+    at = np.full((y.max() + 2, x.max() + 3), -1, "i8")
+    places = np.unique(y * (x.max() + 1) + x, return_inverse=True)[1]
+    at[y, x + 1] = places
+    own, met = [], []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        other = at[y + dy, x + 1 + dx]
+        own.append(places[other >= 0])
+        met.append(other[other >= 0])
+    a, b = np.concatenate(own), np.concatenate(met)
+    label = np.arange(places.max() + 1)
+    while True:
+        # Roots are hooked to lesser roots beside them, then every place points to its root.
+        one, two = label[a], label[b]
+        low, high = np.minimum(one, two), np.maximum(one, two)
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    least = np.full(len(label), np.iinfo("i8").max)
+    np.minimum.at(least, label[places], number)
+    return least[label[places]]
+
+
+def border_links(labelled: DataFrame, span: int = SPAN) -> DataFrame:
+    """Pairs of regions of two blocks that touch (eight neighbours), both ways.
+
+    Cells along the borders of blocks send their region to the cells behind the border; a cell that
+    receives one links the two. Nothing is paired beyond touching regions.
     """
     reach = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in reach])
-    sent = runs.select("gid", "y", "x", "run", F.explode(offsets).alias("o"))
-    border = (F.col("o.dy") != 0) | (F.col("o.dx") == 0) | ((F.col("x") + 1) % span == 0)
-    sent = sent.filter(border).select(
-        "gid", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"),
-        "run", ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"),
+    beside = ((F.col("y") + 1) % span < 2) | ((F.col("x") + 1) % span < 2)
+    sent = labelled.where(beside).select("gid", "y", "x", "id", "block", F.explode(offsets).alias("o"))
+    sent = sent.select(
+        "gid", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "id", "block",
+        ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"),
     )
-    met = sent.groupBy("gid", "y", "x").agg(
-        F.max(F.when(F.col("own"), F.col("run"))).alias("a"),
-        F.collect_set(F.when(~F.col("own"), F.col("run"))).alias("_others"),
+    home = (F.floor(F.col("y") / span) == F.col("block._by")) & (F.floor(F.col("x") / span) == F.col("block._bx"))
+    met = sent.where(F.col("own") | ~home).groupBy("gid", "y", "x").agg(
+        F.max(F.when(F.col("own"), F.col("id"))).alias("a"),
+        F.collect_set(F.when(~F.col("own"), F.col("id"))).alias("_others"),
     )
-    pairs = met.filter(F.col("a").isNotNull()).select("gid", "a", F.explode("_others").alias("b"))
-    pairs = pairs.filter(F.col("a") != F.col("b")).distinct()
+    pairs = met.filter(F.col("a").isNotNull()).select("gid", "a", F.explode("_others").alias("b")).distinct()
     return pairs.unionByName(pairs.select("gid", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
@@ -84,11 +120,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def regions(cells: DataFrame, *, span: int = SPAN) -> DataFrame:
-    """Add ``label``, the connected region of each cell (eight neighbours)."""
-    runs = settled(cell_runs(cells, span))
-    nodes = runs.select("gid", F.col("run").alias("id")).distinct()
-    found = components(nodes, run_links(runs, span))
-    return runs.join(found.withColumnRenamed("id", "run"), ["gid", "run"]).drop("run")
+    """Add ``label``, the connected region of each cell (eight neighbours): the number of its first cell.
+
+    Regions are found block by block; only those that touch across the borders of blocks go through
+    the rounds of ``components``. Cells without a grid or a place have no region.
+    """
+    placed = cells.where("gid IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL AND w IS NOT NULL")
+    found = settled(block_labels(placed, span))
+    links = settled(border_links(found, span))
+    if links.isEmpty():
+        return found.drop("block").withColumnRenamed("id", "label")
+    joined = components(links.select("gid", F.col("a").alias("id")).distinct(), links)
+    return found.drop("block").join(joined, ["gid", "id"], "left").withColumn("label", F.coalesce("label", "id")).drop("id")
 
 
 def bounding_boxes(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -661,12 +661,15 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
     })
     shape, taps = (_triangle, (0, 1)) if method == "bilinear" else (lambda t: _cubic(t, CUBIC), (-1, 0, 1, 2))
     clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.col(n) - 1).cast("int")
+    # Weights are columns of their own: written out in every tap they outgrow the code of one method.
+    weights = {f"_w{c}{k}": shape(F.col(f"_s{c}") - F.floor(f"_s{c}") - i) for c in "yx" for k, i in enumerate(taps)}
+    asked = asked.withColumns(weights)
     tap = F.array(*[
         F.struct(
             clamp(F.floor("_sy") + j, "h").alias("ty"), clamp(F.floor("_sx") + i, "w").alias("tx"),
-            (shape(F.col("_sy") - F.floor("_sy") - j) * shape(F.col("_sx") - F.floor("_sx") - i)).alias("wt"),
+            (F.col(f"_wy{m}") * F.col(f"_wx{n}")).alias("wt"),
         )
-        for j in taps for i in taps
+        for m, j in enumerate(taps) for n, i in enumerate(taps)
     ])
     wanted = asked.select(*CELL, F.inline(tap)).filter(F.col("wt") != 0)
     source = grid.select("gid", F.col("y").alias("ty"), F.col("x").alias("tx"), "v")

@@ -252,6 +252,22 @@ def test_regions(spark, span):
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_regions_of_blocks_need_no_rounds(spark, monkeypatch):
+    """Regions that stay in their blocks are found by one pass; cells without a place have none."""
+    monkeypatch.setattr(C, "components", lambda *_: pytest.fail("no region crosses a border"))
+    rng = np.random.default_rng(10)
+    masks = {f"m{i}": rng.random((40, 30)) < 0.45 for i in range(3)}
+    grid = G.sized(table(spark, {g: m.astype(float) for g, m in masks.items()})).filter("v > 0")
+    lost = grid.limit(1).withColumn("y", F.lit(None).cast("int"))
+    nowhere = grid.limit(1).withColumn("gid", F.lit(None).cast("string"))
+    got = C.regions(grid.unionByName(lost).unionByName(nowhere)).collect()
+    for g, m in masks.items():
+        assert {(r["y"], r["x"]): r["label"] for r in got if r["gid"] == g} == {
+            c: min(y * 30 + x for (y, x), n in flood(m).items() if n == name) for c, name in flood(m).items()
+        }
+    assert len(got) == sum(int(m.sum()) for m in masks.values())
+
+
 def test_trim(spark):
     page = np.zeros((60, 50))
     page[15:45, 12:40] = 255
