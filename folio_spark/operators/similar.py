@@ -16,13 +16,14 @@ Results are groups and each row's distance to its group's first row, not pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.binding import let
 from ..session import settled
 from .components import components
 from .sequence import hamming
@@ -33,71 +34,39 @@ MOST = 4096
 #: How often a large bucket is cut by further pieces before it is dealt into blocks.
 DEPTH = 3
 WORD_BITS = 64
-#: Hashes counted in one byte per bit: the sums stay below the sign.
-BLOCK = 127
-SEPARATORS = r"[\x20\x09-\x0D]+"
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring words, A-Z in lower case; a text of one word has that word."""
-    words = F.filter(F.split(F.translate(text, CAPITALS, SMALL), SEPARATORS), lambda w: w != "")
-
-    def pairs(w: Column) -> Column:
-        two = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-        return F.when(F.size(w) > 1, F.slice(two, 1, F.greatest(F.size(w) - 1, F.lit(1)))).otherwise(w)
-
-    return let(words, pairs)
+#: Hashes of a text counted at once.
+BLOCK = 4096
 
 
 def text_fingerprint(text: Column, bits: int = 64) -> Column:
     """Signature of a text as 64-bit words: a bit is set if most of its bigrams' hashes have it set.
 
-    Like texts get signatures that differ in few bits. The hash is the leading part of MD5 (64 or 128
+    Like texts get signatures that differ in few bits. Words are parted by ASCII blanks and A-Z is in lower
+    case; a text of one word has that word instead of pairs. The hash is the leading part of MD5 (64 or 128
     bits). A null text, or one without words, has no signature (null).
     """
     if bits not in (64, 128):
         raise ValueError("a fingerprint has 64 or 128 bits")
+    size, block, result = bits // 8, BLOCK, "array<bigint>"
 
-    def hashes(features: Column, number: int) -> Column:
-        def one_hash(feature: Column) -> Column:
-            digest = F.substring(F.md5(feature.cast("binary")), 16 * number + 1, 16)
-            half = lambda part: F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint")
-            return F.shiftleft(half(0), 32).bitwiseOR(half(1))
-
-        return F.transform(features, one_hash)
-
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    # Every eighth bit of a hash has a byte of the sum to itself, so one addition counts eight bits.
-    eighth = F.lit(int("01" * 8, 16)).cast("bigint")
-
-    def counted(block: Column, shift: int) -> Column:
-        return F.aggregate(block, zero, lambda total, h: total + F.shiftrightunsigned(h, shift).bitwiseAND(eighth))
-
-    def voted(own: Column) -> Column:
-        number = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))
-        blocks = F.transform(number, lambda b: F.slice(own, b * BLOCK + 1, F.lit(BLOCK)))
-        counts = F.transform(blocks, lambda block: F.array(*(counted(block, shift) for shift in range(8))))
-
-        def packed(held: Column) -> Column:
-            def take(made: Column, place: Column) -> Column:
-                shift, lane = place % 8, place.bitwiseAND(F.lit(56))
-
-                def add(n: Column, block: Column) -> Column:
-                    return n + F.call_function("shiftrightunsigned", F.get(block, shift), lane).bitwiseAND(F.lit(255).cast("bigint"))
-
-                bit = F.when(2 * F.aggregate(held, zero, add) > F.size(own), F.call_function("shiftleft", one, place))
-                return made.bitwiseOR(bit.otherwise(zero))
-
-            return F.aggregate(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), zero, take)
-
-        return let(counts, packed)
+    def fingerprint(data: bytes | None) -> list[int] | None:
+        words = data.lower().split() if data else []
+        if not words:
+            return None
+        features = [b" ".join(pair) for pair in zip(words, words[1:])] or words
+        counts = np.zeros(bits, "i8")
+        for begin in range(0, len(features), block):
+            hashes = b"".join([hashlib.md5(f, usedforsecurity=False).digest()[:size] for f in features[begin : begin + block]])
+            counts += np.unpackbits(np.frombuffer(hashes, "u1")).reshape(-1, bits).sum(axis=0, dtype="i8")
+        # A hash's first bit is the highest of its first word.
+        high = (2 * counts > len(features)).reshape(-1, WORD_BITS)[:, ::-1]
+        return np.packbits(high, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
-    def signed(features: Column) -> Column:
-        words = [let(hashes(features, number), voted) for number in range(bits // WORD_BITS)]
-        return F.when(F.size(features) > 0, F.array(*words))
+    @F.pandas_udf(result)
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(data) for data in texts], dtype="object")
 
-    return let(bigrams(text), signed)
+    return fingerprints(text.cast("binary"))
 
 
 def bit_text(signature: Column, bits: int) -> Column:
@@ -244,6 +213,8 @@ def near_groups(
     Ids are whole numbers; rows without one are left out.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(signature).alias("signature")).where("id IS NOT NULL")
+    # Read several times: a signature may be dear, its row is narrow.
+    rows = settled(rows)
     nodes = settled(
         rows.where("signature IS NOT NULL").groupBy("signature").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
         # An id may have several signatures, so nodes have numbers of their own.
