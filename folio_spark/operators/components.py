@@ -27,6 +27,34 @@ def block_labels(cells: DataFrame, span: int = SPAN) -> DataFrame:
         "id": F.col("y").cast("bigint") * F.col("w") + F.col("x"),
     })
 
+    def least_neighbours(y: np.ndarray, x: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The least number of each cell's region (eight neighbours), for the cells of one block."""
+        y, x = y.astype("i8") - y.min(), x.astype("i8") - x.min()
+        at = np.full((y.max() + 2, x.max() + 3), -1, "i8")
+        places = np.unique(y * (x.max() + 1) + x, return_inverse=True)[1]
+        at[y, x + 1] = places
+        own, met = [], []
+        for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            other = at[y + dy, x + 1 + dx]
+            own.append(places[other >= 0])
+            met.append(other[other >= 0])
+        a, b = np.concatenate(own), np.concatenate(met)
+        label = np.arange(places.max() + 1)
+        while True:
+            # Roots are hooked to lesser roots beside them, then every place points to its root.
+            one, two = label[a], label[b]
+            low, high = np.minimum(one, two), np.maximum(one, two)
+            apart = low < high
+            if not apart.any():
+                break
+            np.minimum.at(label, high[apart], low[apart])
+            while (label[label] != label).any():
+                label = label[label]
+        least = np.full(len(label), np.iinfo("i8").max)
+        np.minimum.at(least, label[places], number)
+        return least[label[places]]
+
+    # Both are part of the function sent to the tasks, which need no library but numpy for it.
     def label(block: pa.Table) -> pa.Table:
         least = least_neighbours(np.array(block["y"]), np.array(block["x"]), np.array(block["id"]))
         return block.set_column(block.schema.get_field_index("id"), "id", pa.array(least, pa.int64()))
@@ -35,34 +63,6 @@ def block_labels(cells: DataFrame, span: int = SPAN) -> DataFrame:
     return found.withColumn("block", F.struct("_by", "_bx")).drop("_by", "_bx")
 
 
-def least_neighbours(y: np.ndarray, x: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The least number of each cell's region (eight neighbours), for the cells of one block."""
-    y, x = y.astype("i8") - y.min(), x.astype("i8") - x.min()
-    at = np.full((y.max() + 2, x.max() + 3), -1, "i8")
-    places = np.unique(y * (x.max() + 1) + x, return_inverse=True)[1]
-    at[y, x + 1] = places
-    own, met = [], []
-    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        other = at[y + dy, x + 1 + dx]
-        own.append(places[other >= 0])
-        met.append(other[other >= 0])
-    a, b = np.concatenate(own), np.concatenate(met)
-    label = np.arange(places.max() + 1)
-    while True:
-        # Roots are hooked to lesser roots beside them, then every place points to its root.
-        one, two = label[a], label[b]
-        low, high = np.minimum(one, two), np.maximum(one, two)
-        apart = low < high
-        if not apart.any():
-            break
-        np.minimum.at(label, high[apart], low[apart])
-        while (label[label] != label).any():
-            label = label[label]
-    least = np.full(len(label), np.iinfo("i8").max)
-    np.minimum.at(least, label[places], number)
-    return least[label[places]]
-
-
 def border_links(labelled: DataFrame, span: int = SPAN) -> DataFrame:
     """Pairs of regions of two blocks that touch (eight neighbours), both ways.
 
