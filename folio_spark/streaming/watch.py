@@ -161,17 +161,20 @@ class ChunkOfPages(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         page = T.StructType([T.StructField("page", T.LongType()), T.StructField("content", self.content)])
-        self.pages = handle.getListState("pages", page)
-        self.done = handle.getValueState("done", "done boolean")
+        # One value a chunk (at most its width and a few pages more): every call to the store is a round trip.
+        self.held = handle.getValueState("held", T.StructType([
+            T.StructField("done", T.BooleanType()), T.StructField("pages", T.ArrayType(page)),
+        ]))
         self.timer = Timer(handle, self.patience)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh = [(r["page"], r["content"]) for r in rows]
         self.timer.move(timerValues)
-        if self.done.exists():
+        done, kept = self.held.get() or (False, [])
+        if done:
             return
         pages: dict = {}
-        for page, content in self.pages.get():
+        for page, content in kept:
             pages.setdefault(page, content)
         new = {}
         for page, content in fresh:
@@ -184,15 +187,13 @@ class ChunkOfPages(StatefulProcessor):
         stop = (chunk + 1) * self.width
         missing, exits = self.rule.exits(pages, max(chunk * self.width, self.first), stop, self.first)
         if all(end is not None or left for _, end, _, left in exits):
-            self.pages.clear()
-            self.done.update((True,))
+            self.held.update((True, []))
         else:
-            self.pages.appendList(list(new.items()))
+            self.held.update((False, list(pages.items())))
         yield Row(**dict(zip(self.keys, key[:-1])), chunk=chunk, missing=missing, exits=[Row(entry=e, end=n, at=a, left=d) for e, n, a, d in exits])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.pages.clear()
-        self.done.clear()
+        self.held.clear()
         self.timer.clear()
         return iter(())
 
@@ -227,13 +228,16 @@ class BookOfChunks(StatefulProcessor):
         if ended:
             return
         end = None
+        entered = passed = chunk
         while True:
             held = arrived.get(chunk)
-            if held is None and self.ahead.containsKey((chunk,)):
+            # Without new pages of its own the chunk it stands in says what it said before.
+            if held is None and chunk != entered and self.ahead.containsKey((chunk,)):
                 held = self.ahead.getValue((chunk,))
             if held is None:
                 break
             missing, exits = held
+            passed = chunk + 1
             found = next(x for x in plain(exits) if x[0] == entry)
             if found[1] is not None:
                 end = found[1]
@@ -250,7 +254,7 @@ class BookOfChunks(StatefulProcessor):
             yield Row(**dict(zip(self.keys, key)), end=end, missing=None)
             return
         for number, held in arrived.items():
-            if number >= chunk:
+            if number >= passed:
                 self.ahead.updateValue((number,), held)
         self.place.update((chunk, entry, False, missing))
 
