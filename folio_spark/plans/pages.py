@@ -134,7 +134,7 @@ def bbox_polygon(t):
     corners = F.array(point(a, c), point(b, c), point(b, d), point(a, d))
     seen = F.when(F.col("l_linenumber") % 4 == 0, F.slice(corners, 1, 3)).otherwise(corners)
     box = S.bbox_from_polygon(seen)
-    return t.spread("lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+    return t.spread("lineitem", "l_orderkey", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.*")
 
 
 @query("bbox_corners", """

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPLIT = 128 * 1024 * 1024
+#: Bytes of a table's files dealt to one task for heavy work.
+PIECE = 8 * 1024 * 1024
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,17 +22,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for heavy per-row work.
+    def spread(self, name: str, *columns: str, piece: int = PIECE) -> DataFrame:
+        """A table (or some columns of it) for heavy per-row work, dealt to tasks of bounded size.
 
-        A small table is a single row group and so a single task; it is dealt out
-        to all cores first. A table large enough to fill the cores by its own
-        splits is left alone.
+        However large the file, a row group is read by a single task. So the rows are dealt out first:
+        to all cores, or to as many tasks as the files have pieces.
         """
         df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return df.repartition(cores) if int(str(size)) < cores * SPLIT else df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        rows = df.select(*columns) if columns else df
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-size // piece))
+        # By all columns: dealing in turn would sort each task's rows first.
+        return rows.repartition(parts, *rows.columns)
 
 
 def query(name: str, sql: str | None = None):

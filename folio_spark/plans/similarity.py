@@ -24,7 +24,7 @@ bits AS (
 
 
 def fingerprints(t):
-    return t.spread("documents").select("doc_id", M.text_fingerprint(F.col("text")).alias("signature"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", M.text_fingerprint(F.col("text")).alias("signature"))
 
 
 @query("text_fingerprint", f"WITH {FINGERPRINT_SQL} SELECT doc_id, bits FROM bits")

@@ -58,7 +58,7 @@ SELECT doc_id, {strip_sql(r"regexp_replace(regexp_replace(t, '\n+', ' ', 'g'), '
 def output_switches(t):
     """The output switches all on but line breaks, and all off."""
     noisy = F.concat(F.replace("text", F.lit(". "), F.lit(".  \t　")), F.lit("\n\n tail "))
-    return t.documents.select(
+    return t.spread("documents", "doc_id", "text").select(
         "doc_id",
         X.output_text(noisy, preserve_linebreaks=False).alias("one_line"),
         X.output_text(noisy, preserve_linebreaks=False, trim_whitespace=False, normalize_spaces=False).alias("loose"),
