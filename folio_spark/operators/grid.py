@@ -540,7 +540,15 @@ def resampled(cells: DataFrame, i: str, n: str, m: Column, method: str) -> DataF
 def resize_to(grid: DataFrame, height: Column, width: Column, method: str = "lanczos", *, u8: bool = False):
     """Resample both axes; the weights of every target are normalised to 1."""
     out = sized(grid).withColumns({"_nh": height.cast("int"), "_nw": width.cast("int")})
-    for axis, size, new in (("y", "h", "_nh"), ("x", "w", "_nw")):
+    axes = (("y", "h", "_nh"), ("x", "w", "_nw"))
+    if method == "nearest":
+        # A target has a single source, so only cells that come several times are combined, before they are sent.
+        weight = F.sum(F.lit(1.0))
+        out = out.groupBy("gid", "h", "w", "_nh", "_nw", "y", "x").agg((F.sum(F.col("v") * F.lit(1.0)) / weight).alias("v"))
+        for axis, size, new in axes:
+            out = resampled(out, axis, size, F.col(new), method).withColumn(axis, F.col("to").cast("int")).drop("to", "wt")
+        axes = ()
+    for axis, size, new in axes:
         other = "x" if axis == "y" else "y"
         sent = resampled(out, axis, size, F.col(new), method)
         out = sent.groupBy("gid", "h", "w", "_nh", "_nw", other, F.col("to").cast("int").alias(axis)).agg(

@@ -51,7 +51,8 @@ U8 = "least(255.0, greatest(0.0, round_even({v}, 0)))"
 
 def vectors(t):
     cells = F.posexplode(F.transform("embedding", lambda e: G.as_u8(128 + 256 * e.cast("double")))).alias("i", "v")
-    flat = t.spread("embeddings").select(F.col("vec_id").alias("gid"), cells)
+    # A vector becomes 64 cells, and more once these are enlarged.
+    flat = t.spread("embeddings", "vec_id", "embedding", piece=2**20).select(F.col("vec_id").alias("gid"), cells)
     return flat.select(
         "gid",
         F.floor(F.col("i") / 8).cast("int").alias("y"),
