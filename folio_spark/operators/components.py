@@ -131,7 +131,8 @@ def regions(cells: DataFrame, *, span: int = SPAN) -> DataFrame:
     if links.isEmpty():
         return found.drop("block").withColumnRenamed("id", "label")
     joined = components(links.select("gid", F.col("a").alias("id")).distinct(), links)
-    return found.drop("block").join(joined, ["gid", "id"], "left").withColumn("label", F.coalesce("label", "id")).drop("id")
+    named = found.drop("block").join(joined.hint("merge"), ["gid", "id"], "left")
+    return named.withColumn("label", F.coalesce("label", "id")).drop("id")
 
 
 def bounding_boxes(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -57,8 +57,12 @@ def block_of() -> dict[str, Column]:
 
 
 def join_per_grid(grid: DataFrame, per_grid: DataFrame, how: str = "inner", keys: Sequence[str] = ("gid",)):
-    """Join a table with one row per grid (or ``keys``) to the cells, block by block."""
-    return join_by_chunk(grid, per_grid, list(keys), block_of(), how)
+    """Join a table with one row per grid (or ``keys``) to the cells, block by block.
+
+    Steps multiply cells, which the plan's size guess leaves out, so its size check would broadcast
+    whole grids. The hint on the cells holds for both joins that they go into: these are merged.
+    """
+    return join_by_chunk(grid.hint("merge"), per_grid, list(keys), block_of(), how)
 
 
 def sized(grid: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def sized(grid: DataFrame) -> DataFrame:
         (F.max("_y").over(whole) + 1).cast("int").alias("h"),
         (F.max("_x").over(whole) + 1).cast("int").alias("w"),
     )
-    return cells.join(sizes, ["gid", "_by", "_bx"]).drop("_by", "_bx")
+    return cells.join(sizes.hint("merge"), ["gid", "_by", "_bx"]).drop("_by", "_bx")
 
 
 def as_u8(value: Column, u8: bool = True) -> Column:
@@ -657,7 +661,7 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
     """Turn each grid by its angle about the centre, same size, edges repeated.
 
     Grids without an angle pass through. Every target asks for its taps, and the
-    taps meet the source cells in an equi-join on the cell.
+    taps meet the source cells in an equi-join on the cell, a merge at every size.
     """
     grid = sized(grid)
     asked = join_per_grid(grid.select(*CELL), angles.select("gid", "angle"))
@@ -681,7 +685,7 @@ def rotate(grid: DataFrame, angles: DataFrame, *, method: str = "cubic", u8: boo
     ])
     wanted = asked.select(*CELL, F.inline(tap)).filter(F.col("wt") != 0)
     source = grid.select("gid", F.col("y").alias("ty"), F.col("x").alias("tx"), "v")
-    turned = wanted.join(source, ["gid", "ty", "tx"]).groupBy(*CELL).agg(
+    turned = wanted.join(source.hint("merge"), ["gid", "ty", "tx"]).groupBy(*CELL).agg(
         as_u8(F.sum(F.col("v") * F.col("wt")), u8).alias("v")
     )
     still = join_per_grid(grid, angles.select("gid"), "left_anti")

@@ -177,15 +177,16 @@ def test_audit_of_other_filters(spark):
     assert found[("a", "EX", 1)][:3] == (3, 1, 0) and found[("a", "EX", 2)] == (1, 2, 1, 2, 0, 0, 5)
 
 
-def test_audit_broadcasts_no_table(spark):
+def test_audit_broadcasts_no_table(spark, tmp_path):
     """Labels and first ids grow with the texts; their size is guessed without the salted copies."""
     docs = spark.createDataFrame([(i, f"text {i % 90}", "en") for i in range(100)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    labels = spark.read.parquet(f"{tmp_path}/labels")
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 * 2**20
     cells = audit.mask_cells(docs, labels, audit.text_filters())
     assert sorted((r.n, r.good, r.toxic) for r in cells.collect()) == [(10, 10, 0), (90, 90, 0)]
     plan = cells._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "Broadcast" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 2
 
 
 def test_audit_reads_texts_once(spark):

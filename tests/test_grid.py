@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folio_spark.operators import components as C
 from folio_spark.operators import grid as G
 from folio_spark.operators import prepare as P
+from folio_spark.session import settled
 
 
 def table(spark, grids):
@@ -361,3 +362,25 @@ def test_prepare(spark):
     assert P.filter_preset(same, "unknown") is same
     for name in ("denoise", "sharpen", "ocr"):
         assert P.filter_preset(same, name).count() == 3000
+
+
+def test_cells_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Steps multiply cells beyond the size that Spark guesses, so no step leaves a join to its size check."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 * 2**20
+    plans = []
+
+    def planned(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(P, "settled", lambda frame: settled(planned(frame)))
+    page = np.zeros((24, 20))
+    page[6:18, 5:15] = 255
+    table(spark, {"p": page}).write.parquet(f"{tmp_path}/grid")  # of files Spark knows, or guesses, the size
+    grid = settled(planned(G.sized(spark.read.parquet(f"{tmp_path}/grid"))))
+    options = P.preset("default", denoise=None, tiles=(2, 2), trim_kernel=(3, 3), trim_pad=2)
+    planned(P.prepare(grid, options))
+    planned(C.regions(grid.filter("v > 0"), span=3))
+    # The size, the equalisation, the turning, the cut to the box, the level and the regions have joins.
+    assert len([p for p in plans if "SortMergeJoin" in p]) == 6
+    assert not [p for p in plans if "Broadcast" in p]
